@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm import tokens
+from quarrylight.llm.bpe import encode_and_decode
+from quarrylight.llm.common import shared_path
 from quarrylight.llm.exact_dedup import exact_dedup
+from quarrylight.llm.packing import pack
+from quarrylight.llm.sstable import token_table
+from quarrylight.llm.token_counts import token_counts
+
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are; they aren't part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +32,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op5_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return token_table(_documents(spark, sf_dir), lambda: tokens.word_bpe(path), END_ID, vocabulary=49_408)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new one in the shared folder, so that each call does the whole job."""
+    return token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return pack(_documents(spark, sf_dir), lambda: tokens.byte_bpe(path), END_ID, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_sorted_shards": op5_sorted_shards,
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
