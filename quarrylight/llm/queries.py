@@ -10,6 +10,7 @@ from quarrylight.llm import tokens
 from quarrylight.llm.bpe import encode_and_decode
 from quarrylight.llm.common import shared_path
 from quarrylight.llm.exact_dedup import exact_dedup
+from quarrylight.llm.jaccard_join import jaccard_classes
 from quarrylight.llm.packing import pack
 from quarrylight.llm.sstable import token_table
 from quarrylight.llm.token_counts import token_counts
@@ -28,6 +29,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_documents(spark, sf_dir), n=3, num=90, den=100).drop("set_sha")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sorted_shards": op5_sorted_shards,
     "op8_bpe": op8_bpe,
@@ -61,7 +67,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SHINGLES = f"""
+        w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS g FROM w WHERE len(w) > 0)"""
+
 SQL: dict[str, str] = {
+    "op1_jaccard_join": f"""
+        WITH RECURSIVE {_SHINGLES},
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(r.v)) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n""",
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
