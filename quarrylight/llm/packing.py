@@ -81,15 +81,22 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Patt
         return out, float(full)
     lengths, counts = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
     amounts, bound = fractional(lengths, counts, capacity)
-    for amount, pattern in sorted(amounts, key=lambda x: (-x[0], x[1])):
+    amounts.sort(key=lambda x: (-x[0], x[1]))
+    rounded = [_round(amounts[: -(-len(amounts) // part)], lengths, left, capacity) for part in (1, 2, 4, 8)]
+    return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + bound
+
+
+def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]:
+    """Whole numbers of the patterns, largest amounts first, and best fit for the pieces that are left."""
+    left, out = dict(left), []
+    for amount, pattern in amounts:
         items = [(int(lengths[i]), n) for i, n in pattern]
         times = min(int(amount), *(left[size] // n for size, n in items))
         if times and sum(size * n for size, n in items) >= 0.995 * capacity:
             out.append((times, items))
             for size, n in items:
                 left[size] -= times * n
-    out += best_fit(left, capacity)
-    return out, full + bound
+    return out + best_fit(left, capacity)
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]:
