@@ -108,14 +108,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[starts[i]:ends[i]], by differences of one running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """n + 1 running sums of a polynomial over the bytes."""
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_LETTER.take(data) * _powers(_P, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_P_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return sums
+
+
+def sum_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of the bytes that running_sums() saw; equal bytes have equal hashes wherever they stand."""
+    return mix((sums[ends] - sums[starts]) * _powers(_P_INV, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[starts[i]:ends[i]]."""
+    return sum_hashes(running_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def words_of(lowered: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
