@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,6 +243,5 @@ def token_table(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int, vo
     prepare(spark)
     rows = materialise(read_shards(spark, write_shards(docs, encoder, end_id, vocabulary, shards or partitions(spark))), "sstable-rows")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    later = totals.select(F.col("shard").alias("before"), F.col("n").alias("m"))
-    base = totals.join(F.broadcast(later), F.col("before") < F.col("shard"), "left").groupBy("shard").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("base"))
+    base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
