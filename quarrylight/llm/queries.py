@@ -12,6 +12,7 @@ from quarrylight.llm.common import shared_path
 from quarrylight.llm.exact_dedup import exact_dedup
 from quarrylight.llm.jaccard_join import jaccard_classes
 from quarrylight.llm.packing import pack
+from quarrylight.llm.quality import quality_scores
 from quarrylight.llm.sstable import token_table
 from quarrylight.llm.suffix_dedup import suffix_dedup
 from quarrylight.llm.token_counts import token_counts
@@ -42,6 +43,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), width=100)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     return token_table(_documents(spark, sf_dir), lambda: tokens.word_bpe(path), END_ID, vocabulary=49_408)
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
     "op5_sorted_shards": op5_sorted_shards,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
