@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylight.llm import tokens
 from quarrylight.llm.bpe import encode_and_decode
 from quarrylight.llm.common import shared_path
+from quarrylight.llm.embedding_dedup import embedding_dedup
 from quarrylight.llm.exact_dedup import exact_dedup
 from quarrylight.llm.jaccard_join import jaccard_classes
+from quarrylight.llm.language_id import language_ids
 from quarrylight.llm.packing import pack
 from quarrylight.llm.quality import quality_scores
 from quarrylight.llm.sstable import token_table
@@ -52,6 +54,14 @@ def op5_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_documents(spark, sf_dir), lambda: tokens.word_bpe(path), END_ID, vocabulary=49_408)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(_documents(spark, sf_dir))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_sorted_shards": op5_sorted_shards,
+    "op6_language_id": op6_language_id,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -92,6 +104,13 @@ SQL: dict[str, str] = {
         r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(r.v)) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+        n AS (SELECT u, count(*) AS n FROM l GROUP BY u), c AS (SELECT u, min(v) AS c FROM r GROUP BY u)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, c) AS component_id, vec_id = least(vec_id, c) AS kept
+        FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id""",
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
