@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.session import ship
+
 #: Rows of an Arrow batch: some 7 MB of average documents, and at most 256 long ones of a megabyte each.
 BATCH_ROWS = 1024
 
@@ -49,8 +51,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that all operators need: small Arrow batches and adaptive handling of skewed joins."""
+    """What all operators need: the package on all workers, small Arrow batches and adaptive handling of skewed joins."""
     shared_dir(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
