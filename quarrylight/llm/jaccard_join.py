@@ -3,13 +3,14 @@
 Jaccard distance is a metric; two documents link at distance r = 1 - similarity or less.
 
 1. Cells. A shingle is the pivot of a cell, and a document lies in the cells of its first
-   n - ceil(similarity * n) + 1 shingles in one order for all (rarer ones first). Two linked
-   documents share one of these at least: all before the last of the shared shingles that they
-   need can't be missing from the other. Documents with equal shingles count once from here on,
-   and cells that hold one document are dropped.
-2. Families. The document of a cell that shares most cells with others is the cell's pivot
-   document. Cells with the same pivot document are one family, so that near copies, which meet
-   in dozens of cells, are brought together once. Every linked pair shares a family.
+   n - ceil(similarity * n) + m shingles in one order for all (rarer ones first). Two linked
+   documents share m of these cells at least (with m that of the smaller document). Documents with
+   equal shingles count once from here on. Cells that hold one document are dropped, then documents
+   that are left with fewer than m cells, and so on: a shared passage alone brings no two together.
+2. Families. Linked documents also have sizes within the similarity of each other, so a cell is cut
+   in overlapping bands of sizes. The document of a band that shares most cells with others is its
+   pivot document. Bands with the same pivot document are one family, so that near copies, which
+   meet in dozens of cells, are brought together once. Every linked pair shares a family.
 3. Voronoi regions. A family of more than `most` documents is split: documents go to the region
    of the nearest of `fan` pivots, and to each region whose pivot is within 2 r more than the
    nearest (a linked document across the border is at most r nearer, so the pair meets there).
@@ -27,6 +28,7 @@ decides how fast this is and never what it finds.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +72,7 @@ def _sig(found: np.ndarray) -> bytes:
 _SCAN = "doc_id long, n long, sig binary, token long, times long"
 
 
-def _scan(n: int, often: int = 8, held: int = 4 << 20):
+def _scan(n: int, often: int = 4, held: int = 4 << 20):
     """A row for each document, and the shingles that `often` or more distinct documents of a stretch of the task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +108,23 @@ def _scan(n: int, often: int = 8, held: int = 4 << 20):
     return run
 
 
+def common_cells(n: int) -> int:
+    """How many cells a document of n shingles must share with a linked one of as many or more shingles: a tenth of its size."""
+    return max(1, n // 10)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """How many shingles of n may all be missing from a linked document, and one."""
-    return n - -(-num * n // den) + 1
+    """How many shingles of n may all be missing from a linked document, and the cells to share."""
+    return min(n, n - -(-num * n // den) + common_cells(n))
 
 
 def _entries(n: int, num: int, den: int, heavy: np.ndarray, weight: np.ndarray):
-    """(token, sig) for the first shingles of each distinct set of a task. Sets so small that a link needs equality have no entry."""
+    """(token, sig, n) for the first shingles of each distinct set of a task. Sets so small that a link needs equality have no entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes, whole = [], [], [], []
             for found in shingles(*text_buffer(batch.column("text")), n):
                 if len(found) * (den - num) < num:
                     continue
@@ -136,14 +143,28 @@ def _entries(n: int, num: int, den: int, heavy: np.ndarray, weight: np.ndarray):
                 tokens.append(rare[:most])
                 sigs.append(sig)
                 sizes.append(len(tokens[-1]))
+                whole.append(len(found))
             if len(seen) > 500_000:
                 seen.clear()
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sigs, pa.binary()).take(pa.array(np.repeat(np.arange(len(sigs)), sizes)))], ["token", "sig"])
+            owner = pa.array(np.repeat(np.arange(len(sigs)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sigs, pa.binary()).take(owner), pa.array(whole, pa.int32()).take(owner)], ["token", "sig", "n"])
 
     return run
 
 
+def _pruned(cells: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
+    """Cells (token, sig, n) without those of one document and documents with too few cells for any link."""
+    smaller = F.ceil(F.col("n") * num / den - 1e-9)  # a linked document has so many shingles at least
+    need = F.greatest(F.lit(1), F.floor(smaller / 10))
+    for _ in range(rounds):
+        shared = cells.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+        cells = cells.join(shared, "token")
+        enough = cells.groupBy("sig").agg(F.count("*").alias("held"), F.first(need).alias("need")).filter("held >= need").select("sig")
+        cells = materialise(cells.join(enough, "sig").select("token", "sig", "n"), "jaccard-cells")
+    return cells
+
+
 def _distance(x: np.ndarray, pivot: np.ndarray) -> float:
     place = np.searchsorted(pivot, x)
     place[place == len(pivot)] = 0
@@ -269,7 +290,7 @@ def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels
     return members
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heavy: int = 1 << 18, most: int = 4000, fan: int = 16, levels: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heavy: int = 1 << 19, most: int = 4000, fan: int = 16, levels: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_sha, a digest of the shingles (null without words), for each row.
 
     Texts link when den * |intersection| >= num * |union| over their distinct n-word shingles; equal sets always do.
@@ -280,17 +301,23 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     texts = texts_only(docs)
     scan = materialise(texts.mapInArrow(_scan(n), _SCAN), "jaccard-scan")
     rows = scan.filter("n is not null").select("doc_id", "n", "sig")
-    top = scan.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(heavy).collect()
-    tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    top = scan.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(heavy).toArrow()
+    tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    weight = np.array([int(r["times"]).bit_length() for r in top], np.int8)
-    entries = materialise(texts.mapInArrow(_entries(n, num, den, tokens[order], weight[order] if len(top) else weight), "token long, sig binary"), "jaccard-entries")
-    shared = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    cells = materialise(entries.join(shared, "token"), "jaccard-cells")
+    weight = np.log2(top.column("times").to_numpy()[order]).astype(np.int8)
+    entries = materialise(texts.mapInArrow(_entries(n, num, den, tokens[order], weight), "token long, sig binary, n int"), "jaccard-entries")
+    shared = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    cells = materialise(entries.join(shared, "token").distinct(), "jaccard-cells")
+    release(spark)
+    cells = _pruned(cells, num, den)
     release(spark)
-    central = cells.groupBy("sig").agg(F.sum("times").alias("weight"))
-    pivots = cells.join(central, "sig").groupBy("token").agg(F.max(F.struct("weight", "sig")).getField("sig").alias("family"), F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("token", "family")
-    families = materialise(cells.join(pivots, "token").select("family", "sig").distinct(), "jaccard-families")
+    times = cells.groupBy("token").agg(F.count("*").alias("times"))
+    central = cells.join(times, "token").groupBy("sig").agg(F.sum("times").alias("weight"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
+    banded = cells.join(central, "sig").select("token", "sig", "weight", F.explode(F.array(band, band + 1)).alias("band"))
+    pivots = banded.groupBy("token", "band").agg(F.max(F.struct("weight", "sig")).getField("sig").alias("pivot"), F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("token", "band", "pivot")
+    family = F.concat("pivot", F.encode(F.col("band").cast("string"), "UTF-8")).alias("family")
+    families = materialise(banded.join(pivots, ["token", "band"]).select(family, "sig").distinct(), "jaccard-families")
     active = families.select("sig").distinct()
     chosen = rows.filter("doc_id is not null").join(active, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     grams = materialise(texts.join(chosen, "doc_id").select("sig", "text").mapInArrow(_checked_sets(n), "sig binary, grams binary"), "jaccard-sets")
