@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import LOWER, blocks, materialise, mix, partitions, prepare, release, span_hashes, text_buffer, texts_only, words_of
+from quarrylight.llm.common import LOWER, blocks, discard, materialise, mix, partitions, prepare, release, span_hashes, text_buffer, texts_only, words_of
 from quarrylight.llm.graph import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(1, 65, dtype=np.uint64) * _STEP  # one for each word of a shingle
 
 
 def shingles(data: bytes, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -51,7 +52,7 @@ def shingles(data: bytes, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
         words = span_hashes(np.frombuffer(part, np.uint8), starts, ends)
         runs = np.zeros(max(0, len(words) - n + 1), np.uint64)
         for k in range(n):
-            runs = mix(runs * np.uint64(3) + words[k : len(words) - n + 1 + k] + _STEP * np.uint64(k + 1))
+            runs = mix(runs * np.uint64(3) + words[k : len(words) - n + 1 + k] + _STEPS[k])
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= n:
                 found = np.sort(runs[a : b - n + 1])
@@ -308,6 +309,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     entries = materialise(texts.mapInArrow(_entries(n, num, den, tokens[order], weight), "token long, sig binary, n int"), "jaccard-entries")
     shared = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
     cells = materialise(entries.join(shared, "token").distinct(), "jaccard-cells")
+    discard(entries)
     release(spark)
     cells = _pruned(cells, num, den)
     release(spark)

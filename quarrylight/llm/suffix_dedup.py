@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import blocks, materialise, mix, partitions, prepare, release, running_sums, sum_hashes, text_buffer
+from quarrylight.llm.common import blocks, discard, materialise, mix, partitions, prepare, release, running_sums, sum_hashes, text_buffer
 
 GRAM = 32
 _NULL_ID = -(1 << 63)
@@ -303,9 +303,9 @@ def _halve(width: int):
     return run
 
 
-def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(contexts with no gram of more than most members, repeats found on the way)."""
-    done, found = [], []
+def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(contexts with no gram of more than most members, repeats found on the way, tables that both read)."""
+    done, found, tables = [], [], [contexts]
     for _ in range((width - GRAM).bit_length() + 1):
         sizes = contexts.groupBy("gram").agg(F.count("*").alias("size"), F.max("hi").alias("h"), F.max("lo").alias("l"))
         large = sizes.filter((F.col("size") > most) & (F.col("h") - F.col("l") > 1)).select("gram")
@@ -320,9 +320,11 @@ def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, l
         found.append(marked.filter(~is_first).select(F.lit(0).cast("long").alias("gram"), "doc", "sub", (F.col("place") - F.length("left")).alias("start"), (F.col("place") + F.length("rest")).alias("stop")))
         several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
         contexts = materialise(marked.filter(is_first).join(several, "gram").select(*_CONTEXT_NAMES), "suffix-contexts")
+        tables += [halves, contexts]
+        release(contexts.sparkSession)
     for d in done:
         contexts = contexts.unionByName(d)
-    return contexts, found
+    return contexts, found, tables
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFrame:
@@ -335,11 +337,14 @@ def repeated_spans(docs: DataFrame, width: int = 100, most: int = 4096) -> DataF
     marks = found.filter("start = -1").groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", F.col("stop").alias("at"))).alias("marks"))
     contexts = materialise(docs.join(marks, ["doc", "sub"]).select("doc", "sub", "text", "marks").mapInArrow(_contexts(width), _CONTEXT), "suffix-contexts")
     release(spark)
-    contexts, more = _split_hot(contexts, width, most)
-    solved = contexts.repartition(n, "gram").sortWithinPartitions("gram", "rest").mapInArrow(_solve(width), _FOUND)
-    spans = found.filter("start >= 0").unionByName(materialise(solved, "suffix-solved"))
+    contexts, more, tables = _split_hot(contexts, width, most)
+    repeats = contexts.repartition(n, "gram").sortWithinPartitions("gram", "rest").mapInArrow(_solve(width), _FOUND)
     for m in more:
-        spans = spans.unionByName(m)
+        repeats = repeats.unionByName(m)
+    repeats = materialise(repeats, "suffix-repeats")
+    discard(*tables)
+    release(spark)
+    spans = found.filter("start >= 0").unionByName(repeats)
     return spans.select("doc", "sub", "start", "stop")
 
 
