@@ -117,7 +117,7 @@ def scan_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), ex
     kept = (F.col("length") <= most_bytes) & ~F.col("path").rlike(r"/\.[^/]") & has_extension(F.col("path"), extensions)
     for part in exclude:
         kept = kept & ~F.col("path").contains(part)
-    return rows.filter(kept).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("hash"))
+    return rows.filter(kept).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))
 
 
 def merge_config(*layers: dict) -> dict:
