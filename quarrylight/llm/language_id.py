@@ -147,6 +147,8 @@ class Mixture:
     def predict(self, data: bytes, offsets: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]]]:
         """Language, score and selected set of each text."""
         names, scores, sets = [], np.zeros(len(offsets) - 1), []
+        if not self.languages:
+            return [UNKNOWN] * len(scores), scores, [[]] * len(scores)
         most = max(1 << 14, (1 << 22) // max(1, len(self.languages)))
         for i, j in blocks(offsets, most):
             part, begin = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -154,7 +156,7 @@ class Mixture:
             best = chosen.argmax(1)
             for k in range(j - i):
                 text = part[begin[k] : begin[k + 1]]
-                if not self.languages or not has_letter(text):
+                if not has_letter(text):
                     names.append(UNKNOWN)
                     sets.append([])
                     continue
