@@ -79,6 +79,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(docs: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions for a shuffle of docs: as the session has them, or more where Spark's estimate of the size comes to more than `each` bytes in one."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), size // each if size < 1 << 55 else 0)
+
+
 def texts_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named; whatever else the table has can't clash."""
     return docs.select("doc_id", "text", *more)

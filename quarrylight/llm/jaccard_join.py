@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import LOWER, blocks, discard, materialise, mix, partitions, prepare, release, span_hashes, text_buffer, texts_only, words_of
+from quarrylight.llm.common import LOWER, blocks, discard, materialise, mix, prepare, release, span_hashes, spread, text_buffer, texts_only, words_of
 from quarrylight.llm.graph import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -326,7 +326,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     release(spark)
     members = families.join(grams, "sig").select("family", "sig", "grams")
     members = _regions(members, num, den, most, fan, levels)
-    links = members.repartition(partitions(spark), "family").sortWithinPartitions("family").mapInArrow(_solve(num, den), "u binary, v binary")
+    links = members.repartition(spread(docs), "family").sortWithinPartitions("family").mapInArrow(_solve(num, den), "u binary, v binary")
     reached = components(links)
     named = rows.join(reached, rows["sig"] == reached["node"], "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.filter("sig is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

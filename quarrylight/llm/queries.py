@@ -104,6 +104,18 @@ SQL: dict[str, str] = {
         r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(r.v)) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op3_suffix_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM b)),
+        r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+        g AS (SELECT doc_id, i, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100)::INT, 0) AS g FROM r),
+        n AS (SELECT doc_id, i, sum(g) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+        p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM n GROUP BY doc_id, k),
+        q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM p),
+        k AS (SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS spans, max(z) AS z, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS head FROM q JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT b.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * z + 1) END)) AS kept_sha256
+        FROM b LEFT JOIN k ON k.doc_id = b.doc_id""",
     "op7_embedding_dedup": """
         WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
         l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import materialise, mix, partitions, prepare, shared_path, text_buffer, texts_only
+from quarrylight.llm.common import materialise, mix, prepare, shared_path, spread, text_buffer, texts_only
 from quarrylight.llm.tokens import Encoder
 
 FOOTER = struct.Struct("<8sQQQQQQQBB")
@@ -241,7 +241,7 @@ def token_table(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int, vo
     Null texts are empty, and a document has its end id at least. Rows with a null doc_id come first."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = materialise(read_shards(spark, write_shards(docs, encoder, end_id, vocabulary, shards or partitions(spark))), "sstable-rows")
+    rows = materialise(read_shards(spark, write_shards(docs, encoder, end_id, vocabulary, shards or spread(docs))), "sstable-rows")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import blocks, discard, materialise, mix, partitions, prepare, release, running_sums, sum_hashes, text_buffer
+from quarrylight.llm.common import blocks, discard, materialise, mix, prepare, release, running_sums, spread, sum_hashes, text_buffer
 
 GRAM = 32
 _NULL_ID = -(1 << 63)
@@ -330,7 +330,7 @@ def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, l
 def repeated_spans(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFrame:
     """(doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = spread(docs)
     rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions(*_NAMES)
     found = materialise(rows.mapInArrow(_kinds(width), _FOUND), "suffix-kinds")
     release(spark)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from quarrylight.llm.common import partitions, prepare, text_buffer, texts_only
+from quarrylight.llm.common import prepare, spread, text_buffer, texts_only
 from quarrylight.llm.tokens import piece_bpe
 
 _CACHE = "digest binary, n_tokens long"
@@ -81,5 +81,5 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     misses = table.mapInArrow(distinct, "digest binary, text binary")
     if have.head(1):
         misses = misses.join(have.select("digest"), "digest", "left_anti")
-    misses.repartition(partitions(spark), "digest").sortWithinPartitions("digest").mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
+    misses.repartition(spread(table), "digest").sortWithinPartitions("digest").mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
     return table.mapInArrow(rows, "doc_id long, n_bytes long, digest binary").join(stored_counts(spark, cache), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
