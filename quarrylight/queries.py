@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import chunkers
 from quarrylight.functions import columns as C
 from quarrylight.operators import fulltext, fusion, indexing, ranking, search, vectors
-from quarrylight.plans.query import SearchOptions, intent, prepared_match, snippet_match
+from quarrylight.plans.query import SearchOptions, intent, prepared_match, snippet_match, strategy
 from quarrylight.sources import corpus
 from quarrylight.streaming import watch
 
@@ -271,12 +271,12 @@ def rank_boosts(spark, sf_dir):
     return rows.select("id", F.explode(each).alias("b")).select("b.query_id", "id", "b.boost")
 
 
-def hybrid_sql(limit: int, tail: str) -> str:
+def hybrid_sql(limit: int, tail: str, w: float = 0.7, matches: dict = _MATCHES) -> str:
     fetch = 5 * limit
-    return f"""WITH {CHUNKS_SQL}, {bm25_sql(_MATCHES)}, {_KNN}, lex AS {_top_sql('scored', fetch)}, {semantic_sql(fetch, 'sem')}, {_counts_sql()},
+    return f"""WITH {CHUNKS_SQL}, {bm25_sql(matches)}, {_KNN}, lex AS {_top_sql('scored', fetch)}, {semantic_sql(fetch, 'sem')}, {_counts_sql()},
     conf_all AS (SELECT DISTINCT 'q5' AS query_id, id, path, start_line FROM (SELECT id, path, start_line, unnest(conformances) AS p FROM chunks WHERE is_type_declaration) WHERE lower(p) = 'codable'),
     conf AS (SELECT query_id, id, {fetch + 1}.0 - rank AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line, id) AS rank FROM conf_all) WHERE rank <= {fetch}),
-    lists AS (SELECT query_id, id, rank, score, 0.3 AS w, 0 AS l FROM lex UNION ALL SELECT query_id, id, rank, score, 0.7, 1 FROM sem UNION ALL SELECT query_id, id, rank, score, 3.0, 2 FROM conf),
+    lists AS (SELECT query_id, id, rank, score, {1 - w:.2f} AS w, 0 AS l FROM lex UNION ALL SELECT query_id, id, rank, score, {w}, 1 FROM sem UNION ALL SELECT query_id, id, rank, score, 3.0, 2 FROM conf),
     best AS (SELECT *, max(score) OVER (PARTITION BY query_id, l) AS best FROM lists),
     fused AS (SELECT query_id, id, sum(w * (0.7 / (60 + rank) + 0.3 * score / CASE WHEN best > 0 THEN best ELSE 1 END)) AS fused FROM best GROUP BY 1, 2),
     rows AS (SELECT f.*, c.* EXCLUDE (id), lex.score AS bm25_score, lex.rank AS bm25_rank, sem.score AS semantic_score, sem.rank AS semantic_rank, row_number() OVER (PARTITION BY f.query_id ORDER BY round(fused, 9) DESC, f.id) AS n
@@ -310,6 +310,66 @@ def research_topics(spark, sf_dir):
     return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["topics"]
 
 
+_HITS = "SELECT query_id, chunk_id, round(score, 6) AS score FROM final"
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("query_id", "chunk_id", "score"), "score")
+
+
+@query(hybrid_sql(10, _HITS, 0.0))
+def bm25_only_strategy(spark, sf_dir):
+    return _hits(_hybrid(spark, sf_dir, semantic_weight=strategy("bm25Only")))
+
+
+@query(hybrid_sql(10, _HITS, 1.0))
+def semantic_only_strategy(spark, sf_dir):
+    return _hits(_hybrid(spark, sf_dir, semantic_weight=strategy("semanticOnly")))
+
+
+_EXPANDED = {"q1": "the and with of", "q2": "para que la", "q4": "thing that"}
+
+
+@query(hybrid_sql(10, _HITS, 0.7, _MATCHES | {q: prepared_match(t) for q, t in _EXPANDED.items()}))
+def expanded_search(spark, sf_dir):
+    rows = search.hybrid_search(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir), TEXTS, query_vectors(spark, sf_dir), HYBRID, TEXTS | _EXPANDED)
+    return _hits(rows)
+
+
+@query(hybrid_sql(10, "SELECT query_id, path FROM (SELECT DISTINCT query_id, path FROM final) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY path) <= 10"))
+def research_files(spark, sf_dir):
+    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["files"]
+
+
+@query(hybrid_sql(10, "SELECT query_id, symbol FROM (SELECT DISTINCT query_id, unnest(symbols) AS symbol FROM final) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol) <= 10"))
+def research_symbols(spark, sf_dir):
+    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["symbols"]
+
+
+@query(hybrid_sql(10, """, names AS (SELECT query_id, path, score, unnest(symbols) AS name, 'symbol' AS role FROM final UNION ALL SELECT query_id, path, score, unnest(refs), 'reference' FROM final)
+    SELECT query_id, path, name, role FROM names QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, role DESC, name) <= 50""".lstrip()))
+def research_references(spark, sf_dir):
+    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["references"].drop("n")
+
+
+@query(rf"WITH {CHUNKS_SQL} SELECT id, len(t) AS n, len(list_distinct(t)) AS n_distinct, coalesce(t[1], '') AS first FROM chunks")
+def tokenized(spark, sf_dir):
+    t = C.tokens(F.col("content"))
+    return corpus.chunks(spark, sf_dir).select("id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT vec_id::VARCHAR AS id, len(embedding) AS dimension FROM embeddings WHERE vec_id::VARCHAR IN (SELECT id FROM chunks WHERE id::INT % 2 = 0)")
+def repaired_vectors(spark, sf_dir):
+    even = corpus.chunks(spark, sf_dir).filter(F.col("id").cast("int") % 2 == 0)
+    return indexing.repair(even, corpus.vectors(spark, sf_dir)).select("id", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT id, path FROM chunks WHERE id IN (SELECT item_id::VARCHAR FROM benchmark)")
+def chunks_by_ids(spark, sf_dir):
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"))
+    return indexing.by_ids(corpus.chunks(spark, sf_dir), asked).select("id", "path")
+
+
 _OVERLAY = f"""WITH {_KNN}, l AS (SELECT query_id, id, '/p/' || (id::INT % 40) AS path, score, rank FROM {_top_sql('near', 20)}),
     r AS (SELECT query_id, 'r' || id AS id, '/p/' || (id::INT % 60) AS path, score * 0.9 AS score, rank FROM {_top_sql('near', 20)}),
     k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.query_id = r.query_id AND l.path = r.path)),
