@@ -30,8 +30,8 @@ from quarrylight.llm.tokens import Encoder
 Pattern = list[tuple[int, int]]
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, Pattern]:
-    """The most valuable multiset of lengths (ascending) that fits, each as often as one likes."""
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to capacity the value of the best multiset of lengths (ascending) that fits, each as often as one likes, and the place of a length in it (-1: one less room is as good)."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -40,34 +40,51 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[fl
             gain = best[c - lengths[:n]] + values[:n]
             if gain[i := int(gain.argmax())] > best[c]:
                 best[c], took[c] = gain[i], i
-    pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+    return best, took
+
+
+def _unfold(took: np.ndarray, lengths: np.ndarray, room: int, first: int) -> dict[int, int]:
+    """The multiset of places: first, and the best for the room."""
+    pattern = {first: 1}
+    while room > 0:
+        i = int(took[room])
+        if i < 0:
+            room -= 1
         else:
-            pattern[int(took[c])] = pattern.get(int(took[c]), 0) + 1
-            c -= int(lengths[took[c]])
-    return float(best[capacity]), list(pattern.items())
+            pattern[i] = pattern.get(i, 0) + 1
+            room -= int(lengths[i])
+    return pattern
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 250, eta: float = 12.0, step: float = 0.08) -> tuple[list[tuple[float, Pattern]], float]:
-    """(amount, pattern of places in lengths) of a near-optimal cover, and a lower bound on the number of sequences from the best dual prices."""
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 150, eta: float = 8.0, step: float = 0.1, slack: float = 0.01, columns: int = 48) -> tuple[list[tuple[float, Pattern]], float]:
+    """(amount, pattern of places in lengths) of a near-optimal cover, and a lower bound on the number of sequences from the best dual prices.
+
+    Prices start as lengths and fall by the exponential of what is covered. Each round prices patterns by one dynamic program: the
+    best for each length that comes within `slack` of the optimum, least covered lengths first."""
     bound = float((lengths * counts).sum()) / capacity
     covered = np.zeros(len(lengths))
     amounts: dict[tuple, float] = {}
     for _ in range(rounds):
-        prices = np.exp(-eta * (covered - covered.min())) * lengths / counts.clip(1) / capacity + 1e-12
-        worth, pattern = knapsack(prices, lengths, capacity)
-        bound = max(bound, float((prices * counts).sum()) / worth)
-        places, often = np.array([i for i, _ in pattern]), np.array([n for _, n in pattern])
-        amount = float((step * counts[places] / often).min())
-        covered[places] += amount * often / counts[places]
-        amounts[tuple(sorted(pattern))] = amounts.get(tuple(sorted(pattern)), 0.0) + amount
+        prices = np.exp(-eta * np.minimum(covered - covered.min(), 4)) * lengths
+        best, took = knapsack(prices, lengths, capacity)
+        bound = max(bound, float((prices * counts).sum()) / best[capacity])
+        worth = prices + best[capacity - lengths]
+        good = np.flatnonzero(worth >= (1 - slack) * best[capacity])
+        for first in good[np.argsort(covered[good], kind="stable")][:columns].tolist():
+            if covered[first] > covered.min() + 4 * step:
+                break
+            pattern = _unfold(took, lengths, capacity - int(lengths[first]), first)
+            places, often = np.array(list(pattern)), np.array(list(pattern.values()))
+            amount = float((step * counts[places] / often).min())
+            covered[places] += amount * often / counts[places]
+            key = tuple(sorted(pattern.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
         if covered.min() >= 1:
             break
-    scale = max(1.0, float((np.array([a * sum(int(lengths[i]) * n for i, n in p) for p, a in amounts.items()]).sum()) / max(1.0, (lengths * counts).sum())))
-    return [(a / scale, list(p)) for p, a in amounts.items()], bound
+    # what covers some lengths more than once shrinks to the volume that there is
+    volume = sum(a * sum(int(lengths[i]) * n for i, n in p) for p, a in amounts.items())
+    scale = min(1.0 / max(covered.min(), 1e-9), float((lengths * counts).sum()) / volume) if volume else 1.0
+    return [(a * scale, list(p)) for p, a in amounts.items()], bound
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Pattern]], float]:
@@ -81,17 +98,19 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Patt
         return out, float(full)
     lengths, counts = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
     amounts, bound = fractional(lengths, counts, capacity)
-    amounts.sort(key=lambda x: (-x[0], x[1]))
-    rounded = [_round(amounts[: -(-len(amounts) // part)], lengths, left, capacity) for part in (1, 2, 4, 8)]
+    amounts.sort(key=lambda x: (x[1][-1], x[1]), reverse=True)
+    rounded = [_round(amounts, lengths, left, capacity, carry) for carry in (1.0, 0.0)]
     return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + bound
 
 
-def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]:
-    """Whole numbers of the patterns, largest amounts first, and best fit for the pieces that are left."""
-    left, out = dict(left), []
+def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int, carry: float) -> list[tuple[int, Pattern]]:
+    """Whole numbers of the patterns, and best fit for the pieces that are left. carry 1: fractions go over to the next pattern, which is alike, so the sum stays; 0: they are dropped, which is better where most amounts are below one."""
+    left, out, carried = dict(left), [], 0.0
     for amount, pattern in amounts:
         items = [(int(lengths[i]), n) for i, n in pattern]
-        times = min(int(amount), *(left[size] // n for size, n in items))
+        carried += amount
+        times = min(int(carried + 1e-9), *(left[size] // n for size, n in items))
+        carried = min(carried - times, 1.0) * carry
         if times and sum(size * n for size, n in items) >= 0.995 * capacity:
             out.append((times, items))
             for size, n in items:
