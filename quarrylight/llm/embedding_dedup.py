@@ -133,7 +133,7 @@ def _check(cosine: float, w: float, k: int, tables: int, tile: int = 1024):
             unit = _unit([r[2] for r in rows])
             n = np.array([r[1] for r in rows])
             side = np.array([r[4] for r in rows])
-            crossed = side.min() != side.max()
+            crossed = key[1] != key[2]  # a pair of blocks, of which one may be empty here
             table = key[0][1]
             hasher = hashers.setdefault(unit.shape[1], Hasher(unit.shape[1], w, k, tables))
             codes: np.ndarray | None = None
