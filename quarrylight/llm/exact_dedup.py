@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import LOWER, materialise, partitions, prepare, text_buffer, texts_only
+from quarrylight.llm.common import LOWER, discard, materialise, partitions, prepare, release, text_buffer, texts_only
 
 KEY_BITS = 62
 _ENTRY = pa.schema([("entry_id", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("n", pa.int64()), ("max_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.int64()), ("text", pa.binary())])
@@ -148,9 +148,9 @@ def exact_dedup(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = 4
     table = spark.createDataFrame([(int(s), int(b), int(owner_of[b])) for s, b in enumerate(slots)], "slot long, bucket long, owner int")
     paged = entries.drop("ids", "sha", "n_bytes").withColumn("slot", F.shiftright("key", key_bits - depth)).join(F.broadcast(table), "slot")
     answers = paged.repartitionById(owners, "owner").sortWithinPartitions("bucket", "key").select("entry_id", "key", "n", "max_id", "text").mapInArrow(_own, _ANSWER_SQL)
-    return (
-        entries.select("entry_id", "sha", "ids")
-        .join(answers, "entry_id")
-        .select("*", F.posexplode("ids").alias("at", "doc_id"))
-        .select("doc_id", "keep_id", "group_size", ((F.col("entry_id") == F.col("keep_entry")) & (F.col("at") == F.when(F.col("keep_id").isNull(), 0).otherwise(F.array_position("ids", F.col("keep_id")) - 1))).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    kept = (F.col("entry_id") == F.col("keep_entry")) & (F.col("at") == F.when(F.col("keep_id").isNull(), 0).otherwise(F.array_position("ids", F.col("keep_id")) - 1))
+    members = entries.select("entry_id", "sha", "ids").join(answers, "entry_id").select("*", F.posexplode("ids").alias("at", "doc_id"))
+    result = materialise(members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")), "dedup-result")
+    discard(entries)
+    release(spark)
+    return result

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialise
+from quarrylight.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels_now = materialise(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        discard(labels)
         if not labels_now.filter(F.col("label") != F.col("old")).head(1):
+            discard(both)
             return labels_now.select("node", F.col("label").alias("component"))
-        labels = labels_now.drop("old")
+        labels = labels_now

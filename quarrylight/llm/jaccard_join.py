@@ -158,11 +158,14 @@ def _pruned(cells: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
     """Cells (token, sig, n) without those of one document and documents with too few cells for any link."""
     smaller = F.ceil(F.col("n") * num / den - 1e-9)  # a linked document has so many shingles at least
     need = F.greatest(F.lit(1), F.floor(smaller / 10))
+    table = cells
     for _ in range(rounds):
         shared = cells.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
         cells = cells.join(shared, "token")
         enough = cells.groupBy("sig").agg(F.count("*").alias("held"), F.first(need).alias("need")).filter("held >= need").select("sig")
-        cells = materialise(cells.join(enough, "sig").select("token", "sig", "n"), "jaccard-cells")
+        before, cells = table, materialise(cells.join(enough, "sig").select("token", "sig", "n"), "jaccard-cells")
+        table = cells
+        discard(before)
     return cells
 
 
@@ -265,9 +268,9 @@ def _solve(num: int, den: int):
     return run
 
 
-def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels: int) -> DataFrame:
-    """Members (family, sig, grams) with every family of more than `most` split; see the module's text."""
-    done = []
+def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(members (family, sig, grams) with every family of more than `most` split, tables that they are read from); see the module's text."""
+    done, tables = [], []
     for level in range(levels + 1):
         sizes = members.groupBy("family").agg(F.count("*").alias("size"))
         large = sizes.filter(F.col("size") > most)
@@ -286,9 +289,10 @@ def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels
             key = F.unhex(F.md5(F.concat("family", F.encode(F.concat_ws(":", F.least("b", "o"), F.greatest("b", "o")), "UTF-8"))))
             members = with_block.select(key.alias("family"), "sig", "grams")
         members = materialise(members, "regions")
+        tables.append(members)
     for d in done:
         members = members.unionByName(d)
-    return members
+    return members, tables
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heavy: int = 1 << 19, most: int = 4000, fan: int = 16, levels: int = 3) -> DataFrame:
@@ -320,14 +324,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pivots = banded.groupBy("token", "band").agg(F.max(F.struct("weight", "sig")).getField("sig").alias("pivot"), F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("token", "band", "pivot")
     family = F.concat("pivot", F.encode(F.col("band").cast("string"), "UTF-8")).alias("family")
     families = materialise(banded.join(pivots, ["token", "band"]).select(family, "sig").distinct(), "jaccard-families")
+    discard(cells)
     active = families.select("sig").distinct()
     chosen = rows.filter("doc_id is not null").join(active, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     grams = materialise(texts.join(chosen, "doc_id").select("sig", "text").mapInArrow(_checked_sets(n), "sig binary, grams binary"), "jaccard-sets")
     release(spark)
     members = families.join(grams, "sig").select("family", "sig", "grams")
-    members = _regions(members, num, den, most, fan, levels)
+    members, tables = _regions(members, num, den, most, fan, levels)
     links = members.repartition(spread(docs), "family").sortWithinPartitions("family").mapInArrow(_solve(num, den), "u binary, v binary")
     reached = components(links)
+    discard(families, grams, *tables)
+    release(spark)
     named = rows.join(reached, rows["sig"] == reached["node"], "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.filter("sig is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.hex("sig").alias("set_sha"))

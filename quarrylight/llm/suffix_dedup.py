@@ -341,10 +341,9 @@ def repeated_spans(docs: DataFrame, width: int = 100, most: int = 4096) -> DataF
     repeats = contexts.repartition(n, "gram").sortWithinPartitions("gram", "rest").mapInArrow(_solve(width), _FOUND)
     for m in more:
         repeats = repeats.unionByName(m)
-    repeats = materialise(repeats, "suffix-repeats")
-    discard(*tables)
+    spans = materialise(repeats.unionByName(found.filter("start >= 0")), "suffix-repeats")
+    discard(found, *tables)
     release(spark)
-    spans = found.filter("start >= 0").unionByName(repeats)
     return spans.select("doc", "sub", "start", "stop")
 
 
