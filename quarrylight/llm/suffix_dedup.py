@@ -376,7 +376,10 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _with_spans(docs: DataFrame, width: int, most: int, *columns: str) -> DataFrame:
     prepare(docs.sparkSession)
     table = numbered(docs.select(*dict.fromkeys(["doc_id", "text", *columns])))
-    spans = repeated_spans(table.select("doc", "sub", "text"), width, most).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    once = table.select("doc", "sub", "text")
+    if once.groupBy("doc", "sub").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        once = once.dropDuplicates(["doc", "sub"])  # else a row would be a later copy of its equal
+    spans = repeated_spans(once, width, most).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return table.join(spans, ["doc", "sub"], "left")
 
 

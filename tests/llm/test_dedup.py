@@ -158,6 +158,19 @@ def test_suffix_dedup_takes_odd_rows(spark):
     assert any(r["text"] is None for r in left)
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_suffix_dedup_keeps_rows_that_come_twice(spark, most):
+    r = random.Random(7)
+    long = "".join(r.choice("abcdefgh ") for _ in range(700))
+    once = [(1, "head " + long[:300]), (2, long), (3, "tail " + long[200:]), (4, "short"), (6, long[::-1])]
+    rows = [*once, once[1], once[4], once[4], once[3]]
+    want = {r[0]: r for r in brute_spans(once, 100)}
+    got = suffix_dedup.suffix_dedup(documents(spark, rows), 100, most).collect()
+    assert sorted(map(tuple, got)) == sorted(want[i] for i, _ in rows) and 0 < want[2][2] < 700
+    left = suffix_dedup.without_repeats(documents(spark, rows), 100, most).collect()
+    assert sorted((x["doc_id"], hashlib.sha256(x["text"].encode()).hexdigest()) for x in left) == sorted((i, want[i][4]) for i, _ in rows if want[i][2] < want[i][1])
+
+
 def test_maximal_repeats_have_all_occurrences():
     rest, left = [b"abcX", b"abcY", b"abcY", b"abdZ"], [b"pq", b"pr", b"s", b"pr"]
     got = sorted((back, ahead, sorted(m)) for back, ahead, m in suffix_dedup.maximal_repeats(rest, left, 4))
