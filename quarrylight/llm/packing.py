@@ -5,7 +5,8 @@ a row for each length: cover all pieces of the length with the fewest sequences.
 prices come from multiplicative weights: each round prices the lengths by how far they are
 from covered, finds the most valuable pattern by knapsack dynamic programming, and adds some of
 it. Rounding takes whole numbers of each pattern, largest first, and what is left goes into
-patterns of the best fit, again in multiples.
+patterns of the best fit, again in multiples. Several roundings are made and the one of fewest
+sequences is taken. Up to FEW lengths the simplex method solves the program to its optimum too.
 
 The driver sees only the histogram, `capacity` numbers at most, and patterns with multiples, a
 number that doesn't grow with the corpus. Pieces find their places alone: a piece's rank among
@@ -29,6 +30,9 @@ from quarrylight.llm.tokens import Encoder
 
 Pattern = list[tuple[int, int]]
 
+#: Lengths up to which the program is solved to its optimum as well.
+FEW = 64
+
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each room up to capacity the value of the best multiset of lengths (ascending) that fits, each as often as one likes, and the place of a length in it (-1: one less room is as good)."""
@@ -87,6 +91,31 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return [(a * scale, list(p)) for p, a in amounts.items()], bound
 
 
+def exact(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[float, Pattern]], float]:
+    """What fractional() gives, at the optimum, by the simplex method with columns from the knapsack; its basis is a square of the number of lengths, so for few lengths."""
+    per = capacity // lengths
+    basis, amounts = np.diag(per).astype(float), counts / per
+    bound = float((lengths * counts).sum()) / capacity
+    for _ in range(100 + 20 * len(lengths)):
+        prices = np.maximum(np.linalg.solve(basis.T, np.ones(len(lengths))), 0)
+        best, took = knapsack(prices, lengths, capacity)
+        bound = max(bound, float((prices * counts).sum()) / best[capacity])
+        if best[capacity] <= 1 + 1e-9:
+            break
+        room = int(np.flatnonzero(took >= 0)[-1])
+        first = int(took[room])
+        column = np.zeros(len(lengths))
+        for i, n in _unfold(took, lengths, room - int(lengths[first]), first).items():
+            column[i] = n
+        change = np.linalg.solve(basis, column)
+        ratio = np.where(change > 1e-9, amounts / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        amount = ratio[out]
+        amounts = np.maximum(amounts - amount * change, 0)
+        amounts[out], basis[:, out] = amount, column
+    return [(float(a), [(int(i), int(column[i])) for i in np.flatnonzero(column)]) for a, column in zip(amounts, basis.T, strict=True)], bound
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Pattern]], float]:
     """(how often, [(length, number in the sequence)]) patterns that place every piece exactly once, and a lower bound on the number of sequences."""
     left = {n: c for n, c in sorted(histogram.items()) if c}
@@ -97,21 +126,25 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Patt
     if not left:
         return out, float(full)
     lengths, counts = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
-    amounts, bound = fractional(lengths, counts, capacity)
-    amounts.sort(key=lambda x: (x[1][-1], x[1]), reverse=True)
-    rounded = [_round(amounts, lengths, left, capacity, carry) for carry in (1.0, 0.0)]
-    return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + bound
-
-
-def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int, carry: float) -> list[tuple[int, Pattern]]:
-    """Whole numbers of the patterns, and best fit for the pieces that are left. carry 1: fractions go over to the next pattern, which is alike, so the sum stays; 0: they are dropped, which is better where most amounts are below one."""
+    covers = [fractional(lengths, counts, capacity)]
+    if len(lengths) <= FEW:
+        covers.append(exact(lengths, counts, capacity))
+    rounded = []
+    for amounts, _ in covers:
+        amounts.sort(key=lambda x: (x[1][-1], x[1]), reverse=True)
+        rounded += [_round(amounts, lengths, left, capacity, carry, fill) for carry in (1.0, 0.0) for fill in (0.995, 0.0)]
+    return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + max(bound for _, bound in covers)
+
+
+def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int, carry: float, fill: float) -> list[tuple[int, Pattern]]:
+    """Whole numbers of the patterns, and best fit for the pieces that are left. carry 1: fractions go over to the next pattern, which is alike, so the sum stays; 0: they are dropped, which is better where most amounts are below one. Patterns filled less than `fill` are left to best fit; where few lengths dominate, the best ones may be such."""
     left, out, carried = dict(left), [], 0.0
     for amount, pattern in amounts:
         items = [(int(lengths[i]), n) for i, n in pattern]
         carried += amount
         times = min(int(carried + 1e-9), *(left[size] // n for size, n in items))
         carried = min(carried - times, 1.0) * carry
-        if times and sum(size * n for size, n in items) >= 0.995 * capacity:
+        if times and sum(size * n for size, n in items) >= fill * capacity:
             out.append((times, items))
             for size, n in items:
                 left[size] -= times * n

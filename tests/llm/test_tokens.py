@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -154,6 +155,22 @@ def test_packing_places_every_piece_once(spark):
     assert n <= 1.03 * -(-sum(map(len, ids)) // 256) + 1
 
 
+def few_lengths():
+    r = random.Random(1)
+    return [{500: 10**6, 270: 10**6, 235: 10**6}, {600: 500, 400: 700}, {341: 999, 342: 999}, *({r.randint(20, 700): r.randint(1000, 10**5) for _ in range(r.randint(2, 6))} for _ in range(12))]
+
+
+@pytest.mark.parametrize("histogram", few_lengths())
+def test_few_lengths_come_near_the_bound(histogram):
+    patterns, bound = packing.plan(histogram, 1024)
+    placed = defaultdict(int)
+    for times, items in patterns:
+        for s, n in items:
+            placed[s] += times * n
+    used = sum(t for t, _ in patterns)
+    assert dict(placed) == histogram and bound <= used + 1e-6 and used <= bound + 2 * len(histogram)
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=30))
 @settings(max_examples=40, deadline=None)
 def test_plan_covers_the_histogram(histogram):
