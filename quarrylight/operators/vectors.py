@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.fulltext import top_k
+from quarrylight.session import ship
 
-#: Query vectors of one job; they are broadcast.
-MOST_QUERIES = 10_000
+#: Query vectors that cosine_scores() broadcasts, and of one block; vectors of one block; queries up to which nearest() broadcasts them.
+MOST_QUERIES, MOST_VECTORS, FEW_QUERIES = 10_000, 32_768, 100
 
 
 def dot(a, b):
@@ -35,9 +38,67 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return given.join(F.broadcast(asked), F.size("embedding") == F.size("q")).select("query_id", "id", (dot("embedding", "q") / (F.col("vn") * F.col("qn"))).alias("score"))
 
 
+def _matrix(rows: pa.Table, name: str) -> np.ndarray:
+    """Rows scaled to length 1."""
+    flat = rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(rows), -1) / rows.column("n").to_numpy()[:, None]
+
+
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int, high: int = 1024, wide: int = 4096) -> tuple[np.ndarray, ...]:
+    """(row of queries, row of vectors, score) of the k largest products of each query; equal to nine digits is a tie, by the row of vectors."""
+    out = []
+    for top in range(0, len(queries), high):
+        part = queries[top : top + high]
+        least = np.full(len(part), -np.inf)
+        row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(vectors), wide):
+            found = part @ vectors[at : at + wide].T
+            if at == 0 and found.shape[1] > k:
+                least = np.partition(found, -k, axis=1)[:, -k]
+            r, c = np.nonzero(~(found < (least - 2e-9)[:, None]))
+            row, column, score = np.append(row, r), np.append(column, at + c), np.append(score, found[r, c])
+            rounded = np.where(np.isnan(score), np.inf, np.round(score, 9))
+            order = np.lexsort((column, -rounded, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            kept = order[place < k]
+            last = order[place == k - 1]
+            least[row[last]] = np.maximum(least[row[last]], rounded[last])
+            row, column, score = row[kept], column[kept], score[kept]
+        out.append((top + row, column, score))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _nearest_in_parts(vectors: DataFrame, queries: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """nearest() among the vectors (part, id, embedding) of the parts that a query (part, query_id, vector) names. Each block of queries meets each block of vectors in one task, which passes on k rows of a query; nothing is broadcast."""
+    ship(vectors.sparkSession)
+    given = vectors.select("part", "id", "embedding", F.size("embedding").alias("size"), F.sqrt(dot("embedding", "embedding")).alias("n")).filter("n > 0")
+    asked = queries.select("part", "query_id", "vector", F.size("vector").alias("size"), F.sqrt(dot("vector", "vector")).alias("n")).filter("n > 0")
+    n, m = vectors.count(), queries.count()
+    tall, wide = max(1, -(-m // MOST_QUERIES)), max(-(-n // MOST_VECTORS), min(least, n // 1024), 1)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    given = given.withColumns({"v": F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int"), "q": every(tall)})
+    asked = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(tall)).cast("int"), "v": every(wide)})
+    key = ["part", "size", "q", "v"]
+
+    def best(vs: pa.Table, qs: pa.Table) -> pa.Table:
+        vs = vs.take(pc.sort_indices(vs.column("id"), null_placement="at_start"))
+        if not len(vs) or not len(qs):
+            row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            row, column, score = best_pairs(_matrix(qs, "vector"), _matrix(vs, "embedding"), k)
+        return pa.table({"query_id": qs.column("query_id").take(pa.array(row)), "id": vs.column("id").take(pa.array(column)), "score": pa.array(score)})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return top_k(given.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(best, kinds), k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest; the threshold comes after the cut, so there may be fewer."""
-    best = top_k(cosine_scores(vectors, queries), k)
+    """(query_id, id, score, rank) of the k nearest, for any number of queries; the threshold comes after the cut, so there may be fewer."""
+    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        best = top_k(cosine_scores(vectors, queries), k)
+    else:
+        one = F.lit(0).alias("part")
+        best = _nearest_in_parts(vectors.select(one, "id", "embedding"), queries.select(one, "query_id", "vector"), k, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
@@ -59,7 +120,7 @@ def intent_boost(intent) -> F.Column:
 
 def semantic_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, intents: dict, limit: int) -> DataFrame:
     """(query_id, id, score, rank): over-fetches twice the limit, boosts queries whose intent is known, sorts again and cuts."""
-    best = top_k(cosine_scores(vectors, queries), 2 * limit).drop("rank")
+    best = nearest(vectors, queries, 2 * limit).drop("rank")
     boost = F.lit(1.0)
     for name, found in intents.items():
         if found.reranks:

@@ -44,6 +44,12 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("q"), (F.col("id").cast("int") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def every_20th_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row whose id is divisible by 20 is a query, against all rows."""
+    rows = corpus.vectors(spark, sf_dir).filter(F.col("id").cast("long") % 20 == 0)
+    return rows.select(F.concat(F.lit("q"), "id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 # --- SQL parts -------------------------------------------------------------------------------
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -88,6 +94,9 @@ def _top_sql(source: str, k: int, by: str = "score") -> str:
 _KNN = f"""asked AS (SELECT 'q' || (vec_id + 1) AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {len(TEXTS)}),
     near AS (SELECT query_id, vec_id::VARCHAR AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, asked)"""
 
+_KNN_ALL = """asked AS (SELECT 'q' || vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+    near AS (SELECT query_id, vec_id::VARCHAR AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, asked)"""
+
 _MATCHES = {q: prepared_match(t) for q, t in TEXTS.items()}
 _PHRASES = {"p1": prepared_match("de la", False), "p2": prepared_match("of-the", False), "p3": prepared_match("foo_the and")}
 
@@ -151,6 +160,16 @@ def knn_threshold(spark, sf_dir):
     return _rounded(vectors.nearest(corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), 10, 0.5), "score")
 
 
+@query(f"WITH {_KNN_ALL} SELECT query_id, id, round(score, 6) AS score, rank FROM {_top_sql('near', 10)}")
+def knn_cosine_all(spark, sf_dir):
+    return _rounded(vectors.nearest(corpus.vectors(spark, sf_dir), every_20th_vector(spark, sf_dir), 10), "score")
+
+
+@query(f"WITH {_KNN_ALL} SELECT query_id, id, round(score, 6) AS score, rank FROM {_top_sql('near', 10)} WHERE score >= 0.5")
+def knn_threshold_all(spark, sf_dir):
+    return _rounded(vectors.nearest(corpus.vectors(spark, sf_dir), every_20th_vector(spark, sf_dir), 10, 0.5), "score")
+
+
 @query()
 def knn_bucketed(spark, sf_dir):
     return _rounded(vectors.bucketed_nearest(corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), 10), "score")

@@ -1,12 +1,16 @@
+import os
 import math
 import sqlite3
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions import chunkers
 from quarrylight.functions import columns as C
 from quarrylight.operators import fulltext, fusion, indexing, ranking, search, vectors
+from quarrylight.queries import QUERIES
 from quarrylight.plans import schemas
 from quarrylight.plans.query import Match, Phrase, SearchOptions, prepared_match, raw_match
 from quarrylight.sources import store
@@ -285,3 +289,33 @@ def test_files_and_config(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("QUARRYLIGHT_LIMIT", "7")
     assert store.load_config(str(tmp_path / "c.toml"), limit=None)["limit"] == "7"
     assert store.merge_config({"a": {"b": 1}}, {"a": {"b": 2, "c": 3}}) == {"a": {"b": 1, "c": 3}}
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def brute():
+    """All pairs of every 20th vector and all vectors of sf0.1: {query_id: [(score, id)]}, best first."""
+    rows = pq.read_table(f"{SF}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pylist()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = [str(r["vec_id"]) for r in rows]
+    return {f"q{i}": sorted(zip((-np.round(x @ v, 9)).tolist(), ids, strict=True))[:10] for i, v in zip(ids, x, strict=True) if int(i) % 20 == 0}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("few, tall, wide", [(100, 10_000, 32_768), (5, 30, 300)])
+def test_all_queries_in_blocks_are_brute_force(spark, brute, monkeypatch, few, tall, wide):
+    for name, value in (("FEW_QUERIES", few), ("MOST_QUERIES", tall), ("MOST_VECTORS", wide)):
+        monkeypatch.setattr(vectors, name, value)
+    want = sorted((q, i, r + 1) for q, best in brute.items() for r, (_, i) in enumerate(best))
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in QUERIES["knn_cosine_all"](spark, SF).collect()) == want
+    want = sorted((q, i) for q, best in brute.items() for s, i in best if -s >= 0.5)
+    assert sorted((r["query_id"], r["id"]) for r in QUERIES["knn_threshold_all"](spark, SF).collect()) == want
+
+
+def test_best_pairs_break_ties_by_place():
+    v = np.array([[1.0, 0], [0, 1], [1, 0], [1, 0], [0.6, 0.8]])
+    row, column, _ = vectors.best_pairs(v[:2], v, 2, high=1, wide=2)
+    assert list(zip(row.tolist(), column.tolist())) == [(0, 0), (0, 2), (1, 1), (1, 4)]
