@@ -178,17 +178,24 @@ class ProviderChain:
         raise RuntimeError(f"no provider works: {errors}")
 
 
-def bucketed_nearest(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate neighbours: vectors go to the nearest of `cells` k-means centres, queries look into `probes` cells. Centres come from a fit over all vectors."""
+def bucketed_nearest(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int | None = None, recall: float = 0.95, seed: int = 7, sample: int = 200) -> DataFrame:
+    """Approximate neighbours: vectors go to the nearest of `cells` k-means centres, queries look into `probes` cells. Centres come from a fit over all vectors.
+
+    Unless given, probes is the least number that finds `recall` of the exact neighbours of a sample of the queries."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = vectors.withColumn("n", F.sqrt(dot("embedding", "embedding"))).filter("n > 0").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("n"))))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
-    placed = model.transform(unit).select("id", "embedding", F.col("prediction").alias("cell"))
-    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    asked = queries.crossJoin(F.broadcast(centres)).withColumn("near", dot("vector", "centre") / F.sqrt(dot("centre", "centre")))
-    chosen = top_k(asked.withColumn("id", F.col("cell").cast("string")), probes, "near").select("query_id", "vector", "cell")
-    pairs = placed.join(F.broadcast(chosen), "cell")
-    scored = pairs.select("query_id", "id", (dot("embedding", "vector") / F.sqrt(dot("embedding", "embedding") * dot("vector", "vector"))).alias("score"))
-    return top_k(scored, k)
+    placed = model.transform(unit).select("id", "embedding", F.col("prediction").alias("part"))
+    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>").filter(dot("centre", "centre") > 0)
+    asked = queries.filter(dot("vector", "vector") > 0).crossJoin(F.broadcast(centres)).withColumn("near", dot("vector", "centre") / F.sqrt(dot("centre", "centre")))
+    cell_ranks = top_k(asked.withColumn("id", F.col("cell").cast("string")), cells, "near").select("query_id", "vector", F.col("cell").alias("part"), "rank")
+    if probes is None:
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+        one = F.lit(0).alias("part")
+        exact = _nearest_in_parts(vectors.select(one, "id", "embedding"), some.select(one, "query_id", "vector"), k, 12).select("query_id", "id")
+        hits = dict(exact.join(placed.select("id", "part"), "id").join(cell_ranks.select("query_id", "part", "rank"), ["query_id", "part"]).groupBy("rank").count().collect())
+        found = np.cumsum([hits.get(i + 1, 0) for i in range(cells)])
+        probes = 1 + int(np.argmax(found >= recall * found[-1])) if found[-1] else cells
+    return _nearest_in_parts(placed, cell_ranks.filter(F.col("rank") <= probes).select("part", "query_id", "vector"), k)

@@ -315,6 +315,15 @@ def test_all_queries_in_blocks_are_brute_force(spark, brute, monkeypatch, few, t
     assert sorted((r["query_id"], r["id"]) for r in QUERIES["knn_threshold_all"](spark, SF).collect()) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bucketed_recall_on_the_whole_table(spark, brute):
+    got = QUERIES["knn_bucketed"](spark, SF).select("query_id", "id").collect()
+    want = {(q, i) for q, best in brute.items() for _, i in best}
+    recall = len(want & {tuple(r) for r in got}) / len(want)
+    print("recall@10", recall)
+    assert recall >= 0.9
+
+
 def test_best_pairs_break_ties_by_place():
     v = np.array([[1.0, 0], [0, 1], [1, 0], [1, 0], [0.6, 0.8]])
     row, column, _ = vectors.best_pairs(v[:2], v, 2, high=1, wide=2)
