@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.session import ship
 
-#: Rows of an Arrow batch: some 7 MB of average documents, and at most 256 long ones of a megabyte each.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch, whichever is reached first. A row that alone has more bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACES = b"\t\n\x0b\x0c\r "
@@ -61,10 +61,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What all operators need: the package on all workers, small Arrow batches and adaptive handling of skewed joins."""
+    """What all operators need: the package on all workers, small Arrow batches and adaptive handling of skewed joins. These settings stay: plans made here run after the operator has returned."""
     shared_dir(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 

@@ -3,10 +3,16 @@
 The program has a variable for each pattern (a multiset of lengths that fit one sequence) and
 a row for each length: cover all pieces of the length with the fewest sequences. Its dual
 prices come from multiplicative weights: each round prices the lengths by how far they are
-from covered, finds the most valuable pattern by knapsack dynamic programming, and adds some of
-it. Rounding takes whole numbers of each pattern, largest first, and what is left goes into
-patterns of the best fit, again in multiples. Several roundings are made and the one of fewest
-sequences is taken. Up to FEW lengths the simplex method solves the program to its optimum too.
+from covered and finds the most valuable patterns by knapsack dynamic programming; the best
+prices seen give a lower bound on the number of sequences. Up to FEW lengths the simplex method
+finds the optimal prices and amounts instead.
+
+Rounding takes whole numbers only. Where the simplex method gave amounts, their whole parts are
+taken first. The rest is priced again and again: by the dual prices, times multiplicative weights
+of what is still uncovered, over no more pieces than are left. The pattern of the largest length
+left is taken as often as its pieces last, since what can fill the room beside it only gets
+scarcer. This goes on to the last piece, so that every sequence is a pattern that the knapsack
+priced. The best of two roundings, by the prices found and by the lengths, is kept.
 
 The driver sees only the histogram, `capacity` numbers at most, and patterns with multiples, a
 number that doesn't grow with the corpus. Pieces find their places alone: a piece's rank among
@@ -60,18 +66,26 @@ def _unfold(took: np.ndarray, lengths: np.ndarray, room: int, first: int) -> dic
     return pattern
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 150, eta: float = 8.0, step: float = 0.1, slack: float = 0.01, columns: int = 48) -> tuple[list[tuple[float, Pattern]], float]:
-    """(amount, pattern of places in lengths) of a near-optimal cover, and a lower bound on the number of sequences from the best dual prices.
+def dual(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, eta: float = 8.0, step: float = 0.02, slack: float = 0.01, columns: int = 48, check: int = 15) -> tuple[np.ndarray, float]:
+    """The best dual prices that multiplicative weights come to, and the lower bound on the number of sequences that they give.
 
-    Prices start as lengths and fall by the exponential of what is covered. Each round prices patterns by one dynamic program: the
-    best for each length that comes within `slack` of the optimum, least covered lengths first."""
-    bound = float((lengths * counts).sum()) / capacity
-    covered = np.zeros(len(lengths))
-    amounts: dict[tuple, float] = {}
-    for _ in range(rounds):
-        prices = np.exp(-eta * np.minimum(covered - covered.min(), 4)) * lengths
+    Prices start equal and fall by the exponential of what is covered. Each round finds patterns by one dynamic program, the best for
+    each length that comes within `slack` of the optimum, and covers some of the least covered lengths by them. Every `check` rounds
+    the mean of all prices so far, later ones counting more, is tried as well; the lengths themselves are prices too."""
+    found, bound = lengths.astype(float), float((lengths * counts).sum()) / capacity
+    covered, total = np.zeros(len(lengths)), np.zeros(len(lengths))
+    for k in range(1, rounds + 1):
+        prices = np.exp(-eta * (covered - covered.min()))
+        prices /= (prices * counts).sum()
+        total += k * prices
         best, took = knapsack(prices, lengths, capacity)
-        bound = max(bound, float((prices * counts).sum()) / best[capacity])
+        tried = [(prices, best[capacity])]
+        if k % check == 0:
+            mean = total / (total * counts).sum()
+            tried.append((mean, knapsack(mean, lengths, capacity)[0][capacity]))
+        for p, most in tried:
+            if 1 / most > bound:
+                found, bound = p / most, 1 / most
         worth = prices + best[capacity - lengths]
         good = np.flatnonzero(worth >= (1 - slack) * best[capacity])
         for first in good[np.argsort(covered[good], kind="stable")][:columns].tolist():
@@ -79,20 +93,12 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
                 break
             pattern = _unfold(took, lengths, capacity - int(lengths[first]), first)
             places, often = np.array(list(pattern)), np.array(list(pattern.values()))
-            amount = float((step * counts[places] / often).min())
-            covered[places] += amount * often / counts[places]
-            key = tuple(sorted(pattern.items()))
-            amounts[key] = amounts.get(key, 0.0) + amount
-        if covered.min() >= 1:
-            break
-    # what covers some lengths more than once shrinks to the volume that there is
-    volume = sum(a * sum(int(lengths[i]) * n for i, n in p) for p, a in amounts.items())
-    scale = min(1.0 / max(covered.min(), 1e-9), float((lengths * counts).sum()) / volume) if volume else 1.0
-    return [(a * scale, list(p)) for p, a in amounts.items()], bound
+            covered[places] += float((step * counts[places] / often).min()) * often / counts[places]
+    return found, bound
 
 
-def exact(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[float, Pattern]], float]:
-    """What fractional() gives, at the optimum, by the simplex method with columns from the knapsack; its basis is a square of the number of lengths, so for few lengths."""
+def exact(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[float, Pattern]], np.ndarray, float]:
+    """(amount, pattern of places in lengths), dual prices and bound at the optimum, by the simplex method with columns from the knapsack; its basis is a square of the number of lengths, so for few lengths."""
     per = capacity // lengths
     basis, amounts = np.diag(per).astype(float), counts / per
     bound = float((lengths * counts).sum()) / capacity
@@ -113,7 +119,65 @@ def exact(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[
         amount = ratio[out]
         amounts = np.maximum(amounts - amount * change, 0)
         amounts[out], basis[:, out] = amount, column
-    return [(float(a), [(int(i), int(column[i])) for i in np.flatnonzero(column)]) for a, column in zip(amounts, basis.T, strict=True)], bound
+    return [(float(a), [(int(i), int(column[i])) for i in np.flatnonzero(column)]) for a, column in zip(amounts, basis.T, strict=True)], prices, bound
+
+
+def _bounded(values: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Knapsack over no more pieces than are left: for each run of pieces of one length (place, number, size) the rooms in which it improves the best value."""
+    best, runs, improves = np.zeros(capacity + 1), [], []
+    for i, (size, value, n) in enumerate(zip(lengths.tolist(), values.tolist(), np.minimum(left, capacity // lengths).tolist(), strict=True)):
+        run = 1
+        while n > 0:
+            run = min(run, n)
+            wide = size * run
+            with_run = best[:-wide] + value * run
+            better = np.zeros(capacity + 1, np.bool_)
+            better[wide:] = with_run > best[wide:]
+            best = np.append(best[:wide], np.maximum(best[wide:], with_run))
+            runs.append((i, run, wide))
+            improves.append(better)
+            n, run = n - run, 2 * run
+    return np.array(improves).reshape(len(runs), capacity + 1), runs
+
+
+def _bounded_pattern(improves: np.ndarray, runs: list[tuple[int, int, int]], room: int, first: int) -> dict[int, int]:
+    pattern, last = {first: 1}, len(runs)
+    while len(better := np.flatnonzero(improves[:last, room])):
+        last = int(better[-1])
+        i, n, wide = runs[last]
+        pattern[i] = pattern.get(i, 0) + n
+        room -= wide
+    return pattern
+
+
+def whole(prices: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int, few: float = 0.1, even: float = 0.005, eta: float = 1.0) -> list[tuple[int, Pattern]]:
+    """Whole numbers of priced patterns that use up the counts.
+
+    Each dynamic program serves the largest lengths that are left, one for each FEW that there are. few: how much more a token of a whole sequence's length is worth than
+    one of a short piece, so that of patterns alike in price the one of fewer pieces is taken; even: the share of multiplicative weights, by
+    which lengths that lag behind come first."""
+    left, out = counts.copy(), []
+    while left.any():
+        live = np.flatnonzero(left)
+        sizes = lengths[live]
+        weight = np.exp(-eta * (1 - left[live] / counts[live]))
+        values = prices[live] * (1 + few * sizes / capacity + even * weight)
+        improves, runs = _bounded(values, sizes, left[live], capacity)
+        each = max(1, len(live) // FEW)
+        for taken, first in enumerate(range(len(live) - 1, max(-1, len(live) - 1 - each), -1)):
+            if not left[live[first]]:
+                continue
+            pattern = _bounded_pattern(improves, runs, capacity - int(sizes[first]), first)
+            if any(left[live[i]] < n for i, n in pattern.items()):
+                if taken:
+                    break
+                others = left[live] - (np.arange(len(live)) == first)
+                pattern = _bounded_pattern(*_bounded(values, sizes, others, capacity), capacity - int(sizes[first]), first)
+            places, often = live[list(pattern)], np.array(list(pattern.values()))
+            times = int((left[places] // often).min())
+            left[places] -= times * often
+            out.append((times, [(int(lengths[i]), int(n)) for i, n in sorted(zip(places.tolist(), often.tolist(), strict=True), reverse=True)]))
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Pattern]], float]:
@@ -126,58 +190,16 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, Patt
     if not left:
         return out, float(full)
     lengths, counts = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
-    covers = [fractional(lengths, counts, capacity)]
+    prices, bound = dual(lengths, counts, capacity)
+    rounded = [whole(p, lengths, counts, capacity) for p in ([prices] if (prices == lengths).all() else [prices, lengths.astype(float)])]
     if len(lengths) <= FEW:
-        covers.append(exact(lengths, counts, capacity))
-    rounded = []
-    for amounts, _ in covers:
-        amounts.sort(key=lambda x: (x[1][-1], x[1]), reverse=True)
-        rounded += [_round(amounts, lengths, left, capacity, carry, fill) for carry in (1.0, 0.0) for fill in (0.995, 0.0)]
-    return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + max(bound for _, bound in covers)
-
-
-def _round(amounts: list[tuple[float, Pattern]], lengths: np.ndarray, left: dict[int, int], capacity: int, carry: float, fill: float) -> list[tuple[int, Pattern]]:
-    """Whole numbers of the patterns, and best fit for the pieces that are left. carry 1: fractions go over to the next pattern, which is alike, so the sum stays; 0: they are dropped, which is better where most amounts are below one. Patterns filled less than `fill` are left to best fit; where few lengths dominate, the best ones may be such."""
-    left, out, carried = dict(left), [], 0.0
-    for amount, pattern in amounts:
-        items = [(int(lengths[i]), n) for i, n in pattern]
-        carried += amount
-        times = min(int(carried + 1e-9), *(left[size] // n for size, n in items))
-        carried = min(carried - times, 1.0) * carry
-        if times and sum(size * n for size, n in items) >= fill * capacity:
-            out.append((times, items))
-            for size, n in items:
-                left[size] -= times * n
-    return out + best_fit(left, capacity)
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]:
-    """Fill sequences from the largest length left down, each time with the set of at most three more that leaves least room, in multiples."""
-    have = np.zeros(capacity + 1, np.int64)
-    for size, n in left.items():
-        have[size] = n
-    out: list[tuple[int, Pattern]] = []
-    while have.any():
-        take = np.zeros(capacity + 1, np.int64)
-        room = capacity
-        while True:
-            there = np.flatnonzero(have[: room + 1] - take[: room + 1] > 0)
-            if not len(there):
-                break
-            pick = int(there[-1])
-            if take.any() and pick < room:  # does a pair fill the room better than the one largest?
-                free = have[: room + 1] - take[: room + 1]
-                rest = room - there
-                pairs = (rest > 0) & (free[rest] > (rest == there))
-                if pairs.any():
-                    pick = int(there[np.flatnonzero(pairs)[-1]])
-            take[pick] += 1
-            room -= pick
-        sizes = np.flatnonzero(take)
-        times = int((have[sizes] // take[sizes]).min())
-        have[sizes] -= times * take[sizes]
-        out.append((times, [(int(s), int(take[s])) for s in sizes[::-1]]))
-    return out
+        amounts, prices, best = exact(lengths, counts, capacity)
+        bound = max(bound, best)
+        parts = [(int(a + 1e-9), [(int(lengths[i]), n) for i, n in pattern]) for a, pattern in amounts if a + 1e-9 >= 1]
+        rest = counts - sum(times * np.bincount(np.searchsorted(lengths, [s for s, _ in items]), [n for _, n in items], len(lengths)).astype(np.int64) for times, items in parts)
+        more = rest > 0
+        rounded.append(parts + whole(prices[more], lengths[more], rest[more], capacity))
+    return out + min(rounded, key=lambda r: sum(times for times, _ in r)), full + bound
 
 
 def _places(patterns: list[tuple[int, Pattern]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -231,7 +253,10 @@ def _cut(encoder: Callable[[], Encoder], end_id: int, capacity: int):
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int, capacity: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece. A null text is empty and so a piece of its end id alone."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece.
+
+    A null or empty text is a piece of its end id alone. Each row is a document of its own: rows that repeat, or share a doc_id
+    or have none, are all packed and keep their doc_id. An empty table gives no rows. Columns other than doc_id and text are not read."""
     prepare(docs.sparkSession)
     pieces = materialise(texts_only(docs).mapInArrow(_cut(encoder, end_id, capacity), _PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,6 +157,24 @@ def test_packing_places_every_piece_once(spark):
     assert n <= 1.03 * -(-sum(map(len, ids)) // 256) + 1
 
 
+def test_packing_takes_repeated_rows_and_rows_without_id(spark):
+    rows = [*many(spark), (None, None), (None, "no id"), (5, "another text of the same id " * 40)]
+    ids = [x + [2] for x in library(BYTE, [t for _, t in rows])]
+    want = []
+    for (i, _), x in zip(rows, ids):
+        head = len(x) - (-(-len(x) // 256) - 1) * 256
+        cuts = [0, *range(head, len(x) + 1, 256)]
+        want += [(i, k, a, b - a, zlib.crc32(words(x[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = packing.pack(documents(spark, rows), lambda: tokens.byte_bpe(BYTE), 2, 256).collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for place in places.values():
+        ends = [a + n for a, n in sorted(place)]
+        assert [a for a, _ in sorted(place)] == [0, *ends[:-1]] and ends[-1] <= 256
+
+
 def few_lengths():
     r = random.Random(1)
     return [{500: 10**6, 270: 10**6, 235: 10**6}, {600: 500, 400: 700}, {341: 999, 342: 999}, *({r.randint(20, 700): r.randint(1000, 10**5) for _ in range(r.randint(2, 6))} for _ in range(12))]
@@ -187,6 +207,62 @@ def test_plan_covers_the_histogram(histogram):
     assert used <= 1.02 * ffd + 2
 
 
+def lengths_of(folder):
+    """How many pieces of each length a table's texts give."""
+    texts = [t or "" for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    out = defaultdict(int)
+    for ids in library(BYTE, texts):
+        n = len(ids) + 1
+        out[n - (-(-n // 1024) - 1) * 1024] += 1
+        out[1024] += -(-n // 1024) - 1
+    return dict(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("times", [1, 48])
+def test_plan_of_real_lengths_comes_near_the_bound_by_priced_patterns(times):
+    histogram = {s: times * n for s, n in lengths_of("/root/testdata/sf0.1").items()}
+    patterns, bound = packing.plan(histogram, 1024)
+    placed = defaultdict(int)
+    for n, items in patterns:
+        for s, m in items:
+            placed[s] += n * m
+    assert {s: n for s, n in placed.items() if n} == {s: n for s, n in histogram.items() if n}
+    used = sum(n for n, _ in patterns)
+    assert bound <= used <= bound * 1.0005 and used <= greedy(histogram, 1024)
+
+
+@pytest.mark.parametrize("low, high, kinds, pieces", [(300, 520, 150, 9000), (200, 700, 200, 9000), (340, 700, 300, 900), (500, 600, 80, 900), (1, 1023, 900, 5000), (330, 520, 120, 3000), (250, 400, 100, 999)])
+def test_plan_is_no_worse_than_greedy(low, high, kinds, pieces):
+    r = random.Random(low)
+    sizes, histogram = r.sample(range(low, high), kinds), defaultdict(int)
+    for _ in range(pieces):
+        histogram[r.choice(sizes)] += 1
+    patterns, bound = packing.plan(histogram, 1024)
+    used = sum(n for n, _ in patterns)
+    assert bound <= used + 1e-6 and used <= greedy(histogram, 1024)
+
+
+def greedy(histogram, capacity):
+    """Best fit from the largest length down, each time with the one or two lengths more that leave least room."""
+    have, used = dict(histogram), 0
+    while sizes := sorted((s for s, n in have.items() if n), reverse=True):
+        pattern, room = [sizes[0]], capacity - sizes[0]
+        while there := [s for s in sizes if s <= room and have[s] > pattern.count(s)]:
+            pick = there[0]
+            for s in there if pick < room else ():
+                if s < room and have.get(room - s, 0) > pattern.count(room - s) + (2 * s == room):
+                    pick = s
+                    break
+            pattern.append(pick)
+            room -= pick
+        times = min(have[s] // pattern.count(s) for s in pattern)
+        for s in set(pattern):
+            have[s] -= times * pattern.count(s)
+        used += times
+    return used
+
+
 def first_fit(histogram, capacity):
     rooms = []
     for s in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
