@@ -11,15 +11,23 @@ Jaccard distance is a metric; two documents link at distance r = 1 - similarity
    in overlapping bands of sizes. The document of a band that shares most cells with others is its
    pivot document. Bands with the same pivot document are one family, so that near copies, which
    meet in dozens of cells, are brought together once. Every linked pair shares a family.
-3. Voronoi regions. A family of more than `most` documents is split: documents go to the region
-   of the nearest of `fan` pivots, and to each region whose pivot is within 2 r more than the
-   nearest (a linked document across the border is at most r nearer, so the pair meets there).
-   Regions that are still too large are split again, and after `levels` rounds in pairs of
-   blocks, which is exact too.
-4. Inside a region, all that are within r of its pivot document are one component by their
-   links to it. Only the others are compared with the rest, by counting shared shingles.
-   A region gives out a tree of links, not all pairs.
-5. Components of the links, over shingle sets, give the component of each document.
+3. Voronoi regions. Each family, of two documents or of millions, is split by the same step. Pivots
+   are chosen among its documents and the distance of every document to every pivot is measured.
+   What lies within r of a pivot is linked to it. A document goes to the region of its nearest
+   pivot, and to each region whose pivot is within 2 r more than the nearest: a linked document
+   across the border is at most r nearer, so by the triangle inequality the pair meets there. Of a
+   region's documents those within r of its pivot are one component already; they go on only if
+   they lie within r of the ring in which the others are. Pivots go no further, nor do regions
+   whose documents are all connected. Regions are split again by the same step until none is left;
+   regions that share so many documents that splitting would multiply the work (more than OVERLAP
+   of the whole) go on as one.
+4. A family of up to `most` bytes is split inside one task, where distances come from counts of shared
+   shingles. A larger one is split by the same step as a job over all tasks, until its regions fit.
+   Documents that no pivot separates (strangers to each other, all at distance near 1) stay one
+   region; after `levels` such steps it is dealt as pairs of blocks that fit, each split as above.
+   All pairs of blocks meet, so that costs the square of the group, but no link is lost.
+5. A region gives out a tree of links, not all pairs. Components of the links, over shingle sets,
+   give the component of each document.
 
 Only the order of shingles comes to the driver: the `heavy` commonest, a fixed number, which
 decides how fast this is and never what it finds.
@@ -169,32 +177,21 @@ def _pruned(cells: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
     return cells
 
 
-def _distance(x: np.ndarray, pivot: np.ndarray) -> float:
-    place = np.searchsorted(pivot, x)
-    place[place == len(pivot)] = 0
-    shared = int((pivot[place] == x).sum())
-    return 1 - shared / (len(x) + len(pivot) - shared)
-
-
-def _assign(num: int, den: int, level: int):
-    """Members of families that are too large, with their families' pivots: to the nearest pivot's region and to those whose windows they lie in."""
-    reach = 2 * (1 - num / den) + 1e-9
+#: Regions whose documents add up to more than so many times the region that they split are one region.
+OVERLAP = 1.25
+#: Against rounding in the windows; links themselves are decided in whole numbers.
+_EDGE = 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for family, sig, grams, pivots in zip(*(batch.column(c).to_pylist() for c in ("family", "sig", "grams", "pivots")), strict=True):
-                x = np.frombuffer(grams, np.uint64)
-                away = [_distance(x, np.frombuffer(p, np.uint64)) for p in pivots]
-                rows += [(hashlib.blake2b(family + bytes([level]) + pivots[q], digest_size=16).digest(), sig, grams) for q, d in enumerate(away) if d <= min(away) + reach]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(3)], ["family", "sig", "grams"])
 
-    return run
+def _overlap(x: np.ndarray, pivot: np.ndarray) -> int:
+    place = np.searchsorted(pivot, x)
+    place[place == len(pivot)] = 0
+    return int((pivot[place] == x).sum())
 
 
-def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A tree of links for each component of these sets. The largest overlap with the others makes the pivot; only what it doesn't reach is compared further."""
-    k = len(sets)
+def region_links(sets: list[np.ndarray], num: int, den: int, fan: int = 8, overlap: float = OVERLAP, seen: list | None = None) -> list[tuple[int, int]]:
+    """A tree of links for each component of these sets, by Voronoi regions around pivots. seen, if given, gets (documents, regions, documents of the regions) of each split."""
+    k, r = len(sets), 1 - num / den
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(k), sizes)
     order = np.argsort(flat, kind="stable")
@@ -203,10 +200,11 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     group = np.cumsum(fresh) - 1
     starts = np.flatnonzero(fresh)
     lengths = np.diff(np.append(starts, len(flat)))
-    shared = lengths[group] > 1  # a shingle of one set alone adds to no overlap
-    by_owner = np.argsort(owner[shared], kind="stable")
-    mine, at = group[shared][by_owner], np.searchsorted(owner[shared][by_owner], np.arange(k + 1))
-    parent = list(range(k))
+    common = lengths[group] > 1  # a shingle of one set alone adds to no overlap
+    by_owner = np.argsort(owner[common], kind="stable")
+    mine, at = group[common][by_owner], np.searchsorted(owner[common][by_owner], np.arange(k + 1))
+    weight = np.bincount(owner, lengths[group], minlength=k) / sizes
+    parent, links = list(range(k)), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -214,31 +212,49 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             i = parent[i]
         return i
 
-    def linked(i: int) -> np.ndarray:
+    def shared(i: int) -> np.ndarray:
+        """Shingles that set i has in common with each set."""
         groups = mine[at[i] : at[i + 1]]
-        if not len(groups):
-            return groups
         n = lengths[groups]
         places = np.repeat(starts[groups] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owner[places], minlength=k)
-        return np.flatnonzero(den * both >= num * (sizes[i] + sizes - both))
-
-    weight = np.bincount(owner, lengths[group], minlength=k) / sizes
-    pivot = int(weight.argmax())
-    reached = linked(pivot)
-    left = np.ones(k, np.bool_)
-    left[reached] = left[pivot] = False
-    links = []
-
-    def join(i: int, found: np.ndarray) -> None:
-        for j in found.tolist():
-            if (a := root(i)) != (b := root(j)):
-                parent[b] = a
-                links.append((i, j))
-
-    join(pivot, reached)
-    for i in np.flatnonzero(left).tolist():
-        join(i, linked(i))
+        return np.bincount(owner[places], minlength=k)
+
+    regions = [np.arange(k)]
+    while regions:
+        region = regions.pop()
+        pivots, away, linked = [], [], []
+        nearest = np.full(len(region), np.inf)
+        pivot = int(weight[region].argmax())
+        while True:
+            i = int(region[pivot])
+            both = shared(i)[region]
+            both[pivot] = sizes[i]
+            union = sizes[i] + sizes[region] - both
+            pivots.append(pivot)
+            away.append(1 - both / union)
+            linked.append(den * both >= num * union)
+            for j in region[linked[-1]].tolist():
+                if (a := root(i)) != (b := root(j)):
+                    parent[b] = a
+                    links.append((i, j))
+            nearest = np.minimum(nearest, away[-1])
+            pivot = int(nearest.argmax())
+            if len(pivots) == min(fan, len(region)) or nearest[pivot] <= r + _EDGE:
+                break
+        rest = np.ones(len(region), np.bool_)
+        rest[pivots] = False
+        parts = []
+        for far, near in zip(away, linked, strict=True):
+            inside = rest & (far <= nearest + 2 * r + _EDGE)
+            if (inside & ~near).any():
+                part = inside & (far >= far[inside & ~near].min() - r - _EDGE)
+                if len({root(j) for j in region[part].tolist()}) > 1:
+                    parts.append(part)
+        if len(parts) > 1 and sum(int(part.sum()) for part in parts) > overlap * len(region):
+            parts = [np.logical_or.reduce(parts)]
+        if seen is not None:
+            seen.append((len(region), len(parts), sum(int(part.sum()) for part in parts)))
+        regions += [region[part] for part in parts]
     return links
 
 
@@ -268,20 +284,84 @@ def _solve(num: int, den: int):
     return run
 
 
-def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(members (family, sig, grams) with every family of more than `most` split, tables that they are read from); see the module's text."""
-    done, tables = [], []
+_MEASURED = "family binary, sig binary, grams binary, away array<double>, mask long, linked array<binary>"
+
+
+def _measure(num: int, den: int):
+    """Members of large families with their families' pivots: the distance to each pivot, and which pivots they link with. A pivot itself is left with its links alone (mask -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for family, sig, grams, pivots in zip(*(batch.column(c).to_pylist() for c in ("family", "sig", "grams", "pivots")), strict=True):
+                x, away, mask, linked = np.frombuffer(grams, np.uint64), [], 0, []
+                for q, pivot in enumerate(pivots):
+                    y = np.frombuffer(pivot["grams"], np.uint64)
+                    both = _overlap(x, y)
+                    union = len(x) + len(y) - both
+                    away.append(1 - both / union)
+                    if den * both >= num * union:
+                        mask |= 1 << q
+                        linked.append(pivot["sig"])
+                out.append((family, sig, grams, away, -1 if sig in [p["sig"] for p in pivots] else mask, linked))
+            types = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate(types)], ["family", "sig", "grams", "away", "mask", "linked"])
+
+    return run
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each family the smallest pivot that each pivot is connected with, by the masks of its documents: those that link with two pivots connect them."""
+    for batch in batches:
+        groups = []
+        for masks, count in zip(batch.column("masks").to_pylist(), batch.column("count").to_pylist(), strict=True):
+            least = list(range(count))
+            for mask in masks:
+                held = [q for q in range(count) if mask >> q & 1]
+                roots = {least[q] for q in held}
+                least = [min(roots) if x in roots else x for x in least]
+            groups.append(least)
+        yield pa.RecordBatch.from_arrays([batch.column("family"), pa.array(groups, pa.list_(pa.int32()))], ["family", "groups"])
+
+
+def _split(hot: DataFrame, num: int, den: int, fan: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of the regions that are left, links found, table that both read) of families (family, sig, grams): the step of region_links() as a job over all tasks."""
+    r = 1 - num / den
+    slot = F.pmod(F.xxhash64("sig", F.lit(level)), F.lit(fan))
+    one = F.min_by(F.struct("sig", "grams"), F.xxhash64("sig", F.lit(level + 99)))
+    pivots = hot.groupBy("family", slot.alias("slot")).agg(one.alias("pivot")).groupBy("family").agg(F.collect_list("pivot").alias("pivots"))  # fan at most
+    measured = materialise(hot.join(pivots, "family").mapInArrow(_measure(num, den), _MEASURED), "regions-measured")
+    links = measured.select(F.col("sig").alias("u"), F.explode("linked").alias("v")).filter("u <> v")
+    masks = measured.filter("mask > 0").groupBy("family").agg(F.collect_set("mask").alias("masks"), F.max(F.size("away")).alias("count"))  # 2**fan at most
+    groups = masks.mapInArrow(_connected, "family binary, groups array<int>")
+    sizes = measured.groupBy("family").agg(F.count("*").alias("size"))
+    rows = measured.filter("mask >= 0").join(groups, "family", "left").join(sizes, "family")
+    low = F.length(F.regexp_extract(F.reverse(F.bin("mask")), "^(0*)1", 1))  # the lowest pivot that the document links with
+    rows = rows.withColumn("tag", F.when(F.col("mask") > 0, F.get("groups", low)).otherwise(F.lit(-1)))
+    near = rows.select("family", "sig", "grams", "size", "tag", "mask", F.array_min("away").alias("nearest"), F.posexplode("away").alias("q", "far")).filter(F.col("far") <= F.col("nearest") + 2 * r + _EDGE)
+    outer = F.expr("shiftright(mask, q) % 2 = 0")
+    rings = near.groupBy("family", "q").agg(F.min(F.when(outer, F.col("far"))).alias("ring"), F.min("tag").alias("a"), F.max("tag").alias("b")).filter("ring is not null and (a < 0 or a < b)").select("family", "q", "ring")
+    parts = near.join(rings, ["family", "q"]).filter(F.col("far") >= F.col("ring") - r - _EDGE)
+    totals = parts.groupBy("family").agg(F.count("*").alias("total"))
+    joined = parts.join(totals, "family").withColumn("part", F.when(F.col("total") > OVERLAP * F.col("size"), F.lit(-1)).otherwise(F.col("q")))
+    name = F.unhex(F.md5(F.concat("family", F.encode(F.concat_ws(":", F.lit(level), "part"), "UTF-8"))))
+    return joined.select(name.alias("family"), "sig", "grams").dropDuplicates(["family", "sig"]), links, measured
+
+
+def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(members (family, sig, grams) of families that fit into a task, links found on the way, tables that they are read from); see the module's text."""
+    done, links, tables = [], [], []
     for level in range(levels + 1):
-        sizes = members.groupBy("family").agg(F.count("*").alias("size"))
-        large = sizes.filter(F.col("size") > most)
+        sizes = members.groupBy("family").agg(F.sum(F.length("grams")).alias("size"), F.count("*").alias("n"))
+        large = sizes.filter((F.col("size") > most) & (F.col("n") > 2)).select("family", "size")
         if not large.head(1):
             break
         hot = members.join(large, "family")
         done.append(members.join(large, "family", "left_anti"))
         if level < levels:
-            slot = F.pmod(F.xxhash64("sig", F.lit(level)), F.lit(fan))
-            pivots = hot.groupBy("family", slot.alias("slot")).agg(F.min_by("grams", F.xxhash64("sig", F.lit(level + 99))).alias("pivot")).groupBy("family").agg(F.collect_list("pivot").alias("pivots"))
-            members = hot.drop("size").join(pivots, "family").mapInArrow(_assign(num, den, level), "family binary, sig binary, grams binary")
+            members, found, table = _split(hot.select("family", "sig", "grams"), num, den, fan, level)
+            links.append(found)
+            tables.append(table)
         else:
             count = F.ceil(F.col("size") * 2 / most).cast("int")
             block = F.pmod(F.xxhash64("sig", F.lit(level)), count).cast("int")
@@ -292,15 +372,16 @@ def _regions(members: DataFrame, num: int, den: int, most: int, fan: int, levels
         tables.append(members)
     for d in done:
         members = members.unionByName(d)
-    return members, tables
+    return members, links, tables
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heavy: int = 1 << 19, most: int = 4000, fan: int = 16, levels: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heavy: int = 1 << 19, most: int = 32 << 20, fan: int = 8, levels: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_sha, a digest of the shingles (null without words), for each row.
 
     Texts link when den * |intersection| >= num * |union| over their distinct n-word shingles; equal sets always do.
-    Null and wordless texts link with nothing and are their own components. Rows of one doc_id are one node only if their sets are equal;
-    a row whose doc_id is null links only by an equal set, and has the smallest id of its component, null if there is none."""
+    Null and wordless texts link with nothing and are their own components. Rows of one doc_id are one node only if their sets are equal.
+    Rows whose doc_id is null link like others; the component_id is the smallest id that there is in the component, null if none has one.
+    An empty table gives no rows. Columns other than doc_id and text are not read."""
     spark = docs.sparkSession
     prepare(spark)
     texts = texts_only(docs)
@@ -328,18 +409,36 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     active = families.select("sig").distinct()
     chosen = rows.filter("doc_id is not null").join(active, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     grams = materialise(texts.join(chosen, "doc_id").select("sig", "text").mapInArrow(_checked_sets(n), "sig binary, grams binary"), "jaccard-sets")
+    tables = [families, grams]
+    if rows.filter("doc_id is null and sig is not null").head(1):  # sets that only rows without an id have are found by the set itself
+        alone = texts.filter("doc_id is null").select("text").mapInArrow(_all_sets(n), "sig binary, grams binary")
+        missing = active.join(grams.select("sig"), "sig", "left_anti")
+        tables.append(materialise(alone.join(missing, "sig").groupBy("sig").agg(F.first("grams").alias("grams")), "jaccard-sets"))
+        grams = grams.unionByName(tables[-1])
     release(spark)
-    members = families.join(grams, "sig").select("family", "sig", "grams")
-    members, tables = _regions(members, num, den, most, fan, levels)
+    members, found, more = _regions(families.join(grams, "sig").select("family", "sig", "grams"), num, den, most, fan, levels)
     links = members.repartition(spread(docs), "family").sortWithinPartitions("family").mapInArrow(_solve(num, den), "u binary, v binary")
+    for f in found:
+        links = links.unionByName(f)
     reached = components(links)
-    discard(families, grams, *tables)
+    discard(*tables, *more)
     release(spark)
     named = rows.join(reached, rows["sig"] == reached["node"], "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.filter("sig is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.hex("sig").alias("set_sha"))
 
 
+def _all_sets(n: int):
+    """The sets of texts by signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [g for g in shingles(*text_buffer(batch.column("text")), n) if len(g)]
+            yield pa.RecordBatch.from_arrays([pa.array([_sig(g) for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())], ["sig", "grams"])
+
+    return run
+
+
 def _checked_sets(n: int):
     """Sets of the texts that have the signature asked for; a doc_id that stands for several texts brings others too, which are left out."""
 

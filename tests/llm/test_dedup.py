@@ -84,13 +84,61 @@ def families(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize("n, num, den, options", [(3, 90, 100, {}), (5, 80, 100, {}), (3, 80, 100, {"most": 5, "fan": 3, "levels": 2}), (3, 90, 100, {"most": 4, "levels": 0}), (2, 90, 100, {"heavy": 0})])
+@pytest.mark.parametrize("n, num, den, options", [(3, 90, 100, {}), (5, 80, 100, {}), (3, 80, 100, {"most": 6000, "fan": 3, "levels": 2}), (3, 90, 100, {"most": 3000, "levels": 0}), (2, 90, 100, {"heavy": 0}), (3, 80, 100, {"most": 2000, "levels": 5})])
 def test_jaccard_join(spark, n, num, den, options):
     rows = [r for r in many(spark) if r[0] is not None and r[0] != 5][:80] + [(20_000 - k, t) for k, t in enumerate(families(n))]
     got = jaccard_join.jaccard_classes(documents(spark, rows), n, num, den, **options)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, n, num, den)
 
 
+def test_rows_without_id_connect_others(spark):
+    base = [f"w{i}" for i in range(60)]
+    chain = [" ".join(base[:40]), " ".join(base[2:42]), " ".join(base[4:44]), " ".join(base[6:46])]
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[2]), (4, chain[3]), (9, "something else altogether"), (None, "x" * 50), (None, None)]
+    got = jaccard_join.jaccard_classes(documents(spark, rows), 3, 85, 100).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted([("1", 38, "1"), ("None", 38, "1"), ("None", 38, "1"), ("4", 38, "1"), ("9", 1, "9"), ("None", 1, "None"), ("None", 0, "None")])
+
+
+def tree(k, links):
+    parent = list(range(k))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    return [root(i) for i in range(k)]
+
+
+@pytest.mark.parametrize("num, fan", [(90, 8), (80, 2), (80, 1), (60, 5), (30, 8)])
+def test_voronoi_regions_keep_every_component(num, fan):
+    r = np.random.default_rng(num + fan)
+    sets, middles = [], [r.integers(0, 10**6, 60, dtype=np.uint64) for _ in range(12)]
+    for _ in range(200):
+        s = middles[r.integers(12)].copy()
+        s[: r.integers(0, 12)] = 0
+        s[r.integers(0, 60, r.integers(0, 20))] = r.integers(0, 10**6, dtype=np.uint64)
+        sets.append(np.unique(s))
+    sets += [np.unique(np.append(r.integers(0, 10**6, 50, dtype=np.uint64), middles[0][:8])) for _ in range(60)]  # strangers that share a passage
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= num * (len(sets[i]) + len(sets[j]) - both)]
+    seen = []
+    got = jaccard_join.region_links(sets, num, 100, fan, seen=seen)
+    assert set(map(frozenset, got)) <= set(map(frozenset, want)) and len(got) < len(sets)
+    a, b = tree(len(sets), got), tree(len(sets), want)
+    assert len(set(a)) == len(set(b)) == len(set(zip(a, b)))
+    assert len(seen) > 1 and all(n <= jaccard_join.OVERLAP * size for size, parts, n in seen)
+
+
+def test_regions_are_split_again():
+    """Two far groups of chains: the first step tells the groups apart, later ones the chains within."""
+    sets = [np.arange(g * 1000 + 3 * c, g * 1000 + 3 * c + 40, dtype=np.uint64) for g in range(2) for c in range(30)]
+    seen = []
+    links = jaccard_join.region_links(sets, 80, 100, 4, seen=seen)
+    assert len(set(tree(60, links))) == 2 and len(links) == 58 and max(parts for _, parts, _ in seen) > 1 and len(seen) > 4
+
+
 def test_jaccard_join_takes_odd_rows(spark):
     rows = many(spark)
     got = jaccard_join.jaccard_classes(documents(spark, rows), 3, 90, 100).collect()
