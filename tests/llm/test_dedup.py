@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylight.llm import embedding_dedup, exact_dedup, graph, jaccard_join, suffix_dedup
@@ -241,14 +242,70 @@ def test_embedding_dedup(spark):
         for j, b in enumerate(good):
             if i != j and a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and a @ b >= 0.93:
                 links[i].add(j)
-    for most in (2048, 2):
-        got = embedding_dedup.embedding_dedup(df, 0.93, recall=0.9999, most=most).collect()
+    for most, recall in ((2048, 0.9999), (2, 0.9999), (2048, 0.995)):
+        got = embedding_dedup.embedding_dedup(df, 0.93, recall=recall, most=most).collect()
         assert sorted((str(r["vec_id"]), r["n_links"]) for r in got) == sorted((str(rows[i][0]), len(links[i])) for i in range(len(rows)))
         component = {r["vec_id"]: r["component_id"] for r in got}
         assert component[900] == 900 and component[907] == 906 and component[60] == 0 and component[None] == 1
     assert embedding_dedup.embedding_dedup(df.limit(0)).collect() == []
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    """With the registered parameters, on pairs of cosines from 0.93 to 0.95 among thousands of strangers of one label."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((1500, 64))
+    noise -= (noise * base[:1500]).sum(1, keepdims=True) * base[:1500]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.95, (1500, 1))
+    vectors = np.float32(np.concatenate([base, c * base[:1500] + np.sqrt(1 - c * c) * noise]))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum() - len(unit)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    got = sum(r["n_links"] for r in embedding_dedup.embedding_dedup(df, cosine=0.93).collect())
+    assert want >= 3000 and 0.99 * want <= got <= want
+
+
+def test_a_large_group_of_near_copies_is_counted_whole(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal((2, 32))
+    vectors = np.float32(np.concatenate([middle[g] + 0.2 * rng.standard_normal((700, 32)) for g in (0, 1)] + [rng.standard_normal((300, 32))]))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    for most in (4096, 100):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df, cosine=0.93, most=most).collect()}
+        assert sum(got.values()) >= 0.999 * links.sum() and all(got[i] <= n for i, n in enumerate(links.tolist()))
+
+
+def test_buckets_wider_than_one_square_give_the_same_candidates(monkeypatch):
+    rng = np.random.default_rng(6)
+    sketches = rng.integers(0, 2**63, (90, 4), dtype=np.uint64)
+    sketches[40:60, 1:] = sketches[:20, 1:]
+    sketches[40:60, 0] = sketches[:20, 0] ^ np.uint64(0b1011 << 20)
+    order = rng.permutation(90)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(90, np.int64)), pa.array(order), pa.nulls(90, pa.int64()), pa.array(np.zeros(90, np.int32)), pa.array([sketches[i].tobytes() for i in order])], embedding_dedup._ENTRY_NAMES)
+    for wide, close in ((2048, 0), (16, 0), (16, 5)):
+        monkeypatch.setattr(embedding_dedup, "WIDE", wide)
+        monkeypatch.setattr(embedding_dedup, "CLOSE", close)
+        pairs = [p for b in embedding_dedup._candidates(40)(iter([batch])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+        roots = tree(90, pairs)
+        assert len(set(roots)) == 70 and all(roots[i] == roots[40 + i] for i in range(20))
+
+
+def test_sketches_lose_no_more_than_they_may():
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((4000, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = rng.standard_normal(a.shape)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    hasher = embedding_dedup.Hasher(24, 1.5, 3, 4)
+    differ = embedding_dedup._differ(hasher(a)[1], hasher(b)[1])
+    assert (differ > embedding_dedup.most_bits(0.93, 0.001)).mean() < 0.02 and (differ > embedding_dedup.most_bits(0.93, 0.4)).mean() > 0.2
+
+
 def test_more_tables_for_a_higher_recall():
     assert embedding_dedup.plan(1000, 0.93, 0.999)[2] > embedding_dedup.plan(1000, 0.93, 0.9)[2]
 
