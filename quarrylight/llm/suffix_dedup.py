@@ -5,18 +5,23 @@ each of its occurrences. Only suffixes that start at such a k-gram, an anchor, a
 2 / (width - k + 2) of all. A repeated string shows up as two suffixes of one anchor k-gram whose
 common prefix and common left extension come to `width` or more.
 
-1. Scan tasks find anchors and hash what lies around each, as far as a string of `width` bytes
-   that holds it can reach. Occurrences with equal surroundings are folded in the task: all but
-   the first are repeats throughout. What goes on is one row for each task and surroundings.
-2. Rows meet by k-gram, sorted, and are streamed: the first of each kind of surroundings stays,
-   others are repeats throughout. K-grams with one kind are done.
-3. The rest fetch their surroundings from the texts and are sorted by their suffixes: an enhanced
+1. Scan tasks find anchors. Occurrences whose surroundings, as far as a string of `width` bytes that
+   holds the anchor can reach, are byte for byte those of an earlier occurrence of the same stretch
+   of the task are folded there: they are repeats throughout, and the earlier one stands for them.
+   Hashes only bring them together. A passage that a third of all rows hold so goes on once from
+   each stretch, not once from each row.
+2. Rows meet by k-gram. K-grams with one row are done.
+3. The others fetch their surroundings from the texts and are sorted by their suffixes: an enhanced
    suffix array. A stack scan over its common prefixes gives the interval tree. In each interval
    a second scan over the reversed left contexts tests how far they agree; each place where they
-   begin to differ gives a maximal repeat with all its occurrences. The first stays.
-4. A k-gram with more than `most` kinds of surroundings is first split by halves of the places
-   that the anchor can have in the string. A half shares more bytes, which are a longer key, and
-   has shorter surroundings, which fold again; six halvings lead to single strings.
+   begin to differ gives a maximal repeat with all its occurrences. The first stays. All decisions
+   are taken on bytes; a collision of hashes costs time and changes nothing.
+4. A k-gram with more than `most` rows, which bounds what a task holds, is first split by halves of
+   the places that the anchor can have in the string. A half shares more bytes, which are a longer
+   key, and has shorter surroundings, of which equal ones (compared as bytes) fold again; six
+   halvings lead to single strings.
+
+What is listed for a document (anchors, ranges) is bounded by its length.
 
 Null texts are empty. Documents are in order of doc_id, null first; texts of one doc_id in order
 of a hash of the text, where equal rows are one document and get one result.
@@ -87,33 +92,50 @@ def _merge(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[first], sub[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
-_ANCHOR = "gram long, around long, doc long, sub long, at long"
-_NAMES = ["gram", "around", "doc", "sub", "at"]
+_ANCHOR = "gram long, doc long, sub long, at long"
+_NAMES = ["gram", "doc", "sub", "at"]
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], _NAMES)
 
 
+def _equal_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray, step: int = 8192) -> np.ndarray:
+    """Of the rows, those whose bytes data[start:start + size] are the bytes of the row before."""
+    kept = [rows[:0]]
+    for i in range(0, len(rows), step):
+        some = rows[i : i + step]
+        some = some[size[some] == size[some - 1]]
+        if len(some):
+            at = np.arange(size[some].max())
+            here, before = (np.minimum(start[x][:, None] + at, len(data) - 1) for x in (some, some - 1))
+            kept.append(some[((data[here] == data[before]) | (at >= size[some][:, None])).all(1)])
+    return np.concatenate(kept)
+
+
 def _scan(width: int, stretch: int = 1 << 19):
-    """Rows (gram, around, doc, sub, at): at is the anchor's place * 256 + the bytes right of it; or, for repeats that the task found alone, -1 - start, with around the end and gram any number."""
+    """Rows (gram, doc, sub, at): at is the anchor's place; or, for repeats that a stretch of the task found alone, -1 - start, with the stop in place of gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        texts: list[bytes] = []
+        size = length = 0
 
         def fold() -> Iterator[pa.RecordBatch]:
-            gram, around, doc, sub, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, around, doc, sub, at, left, right, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            data = np.frombuffer(b"".join(texts), np.uint8)
             held.clear()
+            texts.clear()
             order = np.lexsort((at, sub, doc, around, gram))
-            gram, around, doc, sub, at = (c[order] for c in (gram, around, doc, sub, at))
-            again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (around[1:] == around[:-1])])
+            gram, around, doc, sub, at, left, right, start = (c[order] for c in (gram, around, doc, sub, at, left, right, start))
+            alike = 1 + np.flatnonzero((gram[1:] == gram[:-1]) & (around[1:] == around[:-1]) & (left[1:] == left[:-1]))
+            again = np.zeros(len(gram), np.bool_)
+            again[_equal_before(data, start, left + right, alike)] = True
             kept = ~again
-            yield _batch(*(c[kept] for c in (gram, around, doc, sub, at)))
-            place = at[again] >> 8
-            d, s, start, end = _merge(doc[again], sub[again], place - np.minimum(place, width - GRAM), place + (at[again] & 255))
+            yield _batch(*(c[kept] for c in (gram, doc, sub, at)))
+            d, s, begin, end = _merge(doc[again], sub[again], at[again] - left[again], at[again] + right[again])
             if len(d):
-                yield _batch(mix(d.view(np.uint64)), end, d, s, -1 - start)
+                yield _batch(end, d, s, -1 - begin)
 
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -121,13 +143,15 @@ def _scan(width: int, stretch: int = 1 << 19):
             for i, j in blocks(offsets):
                 part = np.frombuffer(data, np.uint8, offsets[j] - offsets[i], offsets[i])
                 begin = offsets[i : j + 1] - offsets[i]
-                places, text, gram, around, _, right = anchors(part, begin, width)
-                held.append((gram.view(np.int64), around.view(np.int64), docs[i + text], subs[i + text], (places - begin[text]) << 8 | right))
+                places, text, gram, around, left, right = anchors(part, begin, width)
+                held.append((gram.view(np.int64), around.view(np.int64), docs[i + text], subs[i + text], places - begin[text], left, right, length + places - left))
+                texts.append(part.tobytes())
                 size += len(places)
+                length += len(part)
                 if size > stretch:
                     yield from fold()
-                    size = 0
-        if size:
+                    size = length = 0
+        if held:
             yield from fold()
 
     return run
@@ -140,39 +164,26 @@ def _found(gram, doc, sub, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (gram, doc, sub, start, stop)], ["gram", "doc", "sub", "start", "stop"])
 
 
-def _kinds(width: int):
-    """Rows sorted by (gram, around, doc, sub, at). Gives repeats (start, stop), and the first of each kind of a gram with two kinds or more (-1, at)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: tuple | None = None  # (gram, around, row, given): the last kind so far, and whether its gram's first kind was given out
-        for batch in batches:
-            gram, around, doc, sub, at = (batch.column(c).to_numpy() for c in _NAMES)
-            own = at < 0
-            if own.any():
-                yield _found(gram[own], doc[own], sub[own], -1 - at[own], around[own])
-                gram, around, doc, sub, at = (c[~own] for c in (gram, around, doc, sub, at))
-            if not len(gram):
-                continue
-            same_gram = np.concatenate([[carried is not None and carried[0] == gram[0]], gram[1:] == gram[:-1]])
-            again = np.concatenate([[carried is not None and carried[0] == gram[0] and carried[1] == around[0]], (around[1:] == around[:-1])]) & same_gram
-            place = at[again] >> 8
-            yield _found(*_with_gram(_merge(doc[again], sub[again], place - np.minimum(place, width - GRAM), place + (at[again] & 255))))
-            first = np.flatnonzero(~again)
-            if not len(first):
-                continue
-            # among first rows: a gram with two kinds has a neighbour of the same gram, here or carried
-            before = np.concatenate([[carried is not None and carried[0] == gram[first[0]]], gram[first[1:]] == gram[first[:-1]]])
-            several = before.copy()
-            several[:-1] |= before[1:]
-            give = first[several]
-            if before[0] and not carried[3]:
-                yield _found(*([x] for x in carried[2]))
-            if len(give):
-                yield _found(gram[give], doc[give], sub[give], np.full(len(give), -1), at[give])
-            last = first[-1]
-            carried = (gram[last], around[last], (gram[last], doc[last], sub[last], -1, at[last]), bool(several[-1]))
-
-    return run
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram. Gives repeats (start, stop), and the rows (start -1, stop the anchor's place) of each gram with two or more."""
+    last: tuple | None = None  # a gram's row, held until its gram is seen again
+    gone = False  # whether it was given out
+    for batch in batches:
+        gram, doc, sub, at = (batch.column(c).to_numpy() for c in _NAMES)
+        own = at < 0
+        if own.any():
+            yield _found(np.zeros(int(own.sum()), np.int64), doc[own], sub[own], -1 - at[own], gram[own])
+            gram, doc, sub, at = (c[~own] for c in (gram, doc, sub, at))
+        if not len(gram):
+            continue
+        before = np.concatenate([[last is not None and last[0] == gram[0]], gram[1:] == gram[:-1]])
+        give = before.copy()
+        give[:-1] |= before[1:]
+        if before[0] and not gone:
+            yield _found(*([x] for x in (*last[:3], -1, last[3])))
+        if give.any():
+            yield _found(gram[give], doc[give], sub[give], np.full(int(give.sum()), -1), at[give])
+        last, gone = (gram[-1], doc[-1], sub[-1], at[-1]), bool(give[-1])
 
 
 def _with_gram(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -192,7 +203,7 @@ def _contexts(width: int):
             out: list[list] = [[] for _ in range(6)]
             for doc, sub, marks, a, b in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), batch.column("marks").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 for m in marks:
-                    place = m["at"] >> 8
+                    place = m["at"]
                     here = a + place
                     for column, x in zip(out, (m["gram"].to_bytes(8, "big", signed=True), doc, sub, place, data[here : min(b, here + width)], data[max(a, here - width + GRAM) : here][::-1]), strict=True):
                         column.append(x)
@@ -202,19 +213,21 @@ def _contexts(width: int):
     return run
 
 
-def _padded(strings: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
-
-
 def common_prefixes(strings: list[bytes], width: int) -> list[int]:
-    """Length of the common prefix of each string and the one before it; 0 for the first."""
-    if len(strings) < 2:
-        return [0] * len(strings)
-    table = _padded(strings, width)
-    differ = table[1:] != table[:-1]
-    prefix = np.where(differ.any(1), differ.argmax(1), width)
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    return [0, *np.minimum(prefix, np.minimum(sizes[1:], sizes[:-1])).tolist()]
+    """Length of the common prefix of each string and the one before it, `width` at most; 0 for the first."""
+    out = [0] * min(1, len(strings))
+    for a, b in zip(strings, strings[1:]):
+        low, high = 0, min(len(a), len(b), width)
+        if a[:high] != b[:high]:
+            while high - low > 1:  # low bytes agree, high don't
+                middle = (low + high) // 2
+                if a[low:middle] == b[low:middle]:
+                    low = middle
+                else:
+                    high = middle
+            high = low
+        out.append(high)
+    return out
 
 
 def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int, int]]:
@@ -241,11 +254,7 @@ def maximal_repeats(rest: list[bytes], left: list[bytes], width: int, lo: int =
         if shortest > longest:
             continue
         members = sorted(range(first, last + 1), key=lambda i: left[i])
-        if shortest == 0:
-            agree = common_prefixes([left[i] for i in members], width)
-            agree[0] = 0
-        else:
-            agree = common_prefixes([left[i] for i in members], width)
+        agree = common_prefixes([left[i] for i in members], width)
         for a, b, same, above in intervals(agree):
             reach = min(same, longest)
             if reach >= shortest and reach > min(above, longest):
@@ -327,12 +336,12 @@ def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, l
     return contexts, found, tables
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
     """(doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
     spark = docs.sparkSession
     n = spread(docs)
-    rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions(*_NAMES)
-    found = materialise(rows.mapInArrow(_kinds(width), _FOUND), "suffix-kinds")
+    rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions("gram")
+    found = materialise(rows.mapInArrow(_several, _FOUND), "suffix-several")
     release(spark)
     marks = found.filter("start = -1").groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", F.col("stop").alias("at"))).alias("marks"))
     contexts = materialise(docs.join(marks, ["doc", "sub"]).select("doc", "sub", "text", "marks").mapInArrow(_contexts(width), _CONTEXT), "suffix-contexts")
@@ -383,7 +392,7 @@ def _with_spans(docs: DataFrame, width: int, most: int, *columns: str) -> DataFr
     return table.join(spans, ["doc", "sub"], "left")
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row: without each byte that a string of width bytes covers which also starts earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +407,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFra
     return _with_spans(docs, width, most).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, width: int = 100, most: int = 4096) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
     """The documents with their repeated strings taken out, all columns of documents kept; n_chars is that of the new text.
 
     A character that is removed in part goes whole. Rows of which only white space is left go, if anything was removed."""

@@ -191,7 +191,7 @@ def passages(seed):
     return [*out, "z" * 700, "ab" * 300, common[3] * 4, "q" * 99, "q" * 100, "q" * 100]
 
 
-@pytest.mark.parametrize("most", [4096, 2])
+@pytest.mark.parametrize("most", [16_384, 2])
 def test_suffix_dedup(spark, most):
     rows = [(i, t) for i, t in many(spark) if i is not None and i != 5] + [(5000 + i, t) for i, t in enumerate(passages(4))]
     got = suffix_dedup.suffix_dedup(documents(spark, rows), 100, most)
@@ -207,7 +207,7 @@ def test_suffix_dedup_takes_odd_rows(spark):
     assert any(r["text"] is None for r in left)
 
 
-@pytest.mark.parametrize("most", [4096, 2])
+@pytest.mark.parametrize("most", [16_384, 2])
 def test_suffix_dedup_keeps_rows_that_come_twice(spark, most):
     r = random.Random(7)
     long = "".join(r.choice("abcdefgh ") for _ in range(700))
@@ -220,6 +220,36 @@ def test_suffix_dedup_keeps_rows_that_come_twice(spark, most):
     assert sorted((x["doc_id"], hashlib.sha256(x["text"].encode()).hexdigest()) for x in left) == sorted((i, want[i][4]) for i, _ in rows if want[i][2] < want[i][1])
 
 
+def test_suffix_dedup_decides_on_bytes(monkeypatch):
+    """Where all surroundings hash alike and hardly any k-gram is told apart, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(0))
+    plain = suffix_dedup.sum_hashes
+    monkeypatch.setattr(suffix_dedup, "sum_hashes", lambda *a: plain(*a) >> np.uint64(55))
+    rows = list(enumerate(passages(11)))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for _, t in rows]), pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int64())], ["text", "doc", "sub"])
+    found = [r for b in suffix_dedup._scan(100)(iter([batch])) for r in b.to_pylist()]
+    marks, spans = defaultdict(list), defaultdict(list)
+    for r in sorted(found, key=lambda r: r["gram"]):
+        if r["at"] < 0:
+            spans[r["doc"]].append((-1 - r["at"], r["gram"]))
+        else:
+            marks[r["doc"]].append({"gram": r["gram"], "at": r["at"]})
+    listed = pa.RecordBatch.from_arrays([pa.array([rows[i][1].encode() for i in marks]), pa.array(list(marks), pa.int64()), pa.array([0] * len(marks), pa.int64()), pa.array(list(marks.values()))], ["text", "doc", "sub", "marks"])
+    contexts = pa.Table.from_batches(list(suffix_dedup._contexts(100)(iter([listed])))).sort_by([("gram", "ascending"), ("rest", "ascending")])
+    for b in suffix_dedup._solve(100)(iter(contexts.to_batches())):
+        for r in b.to_pylist():
+            spans[r["doc"]].append((r["start"], r["stop"]))
+    for i, _, gone, n, _ in brute_spans(rows, 100):
+        merged = suffix_dedup.union([{"start": a, "stop": b} for a, b in spans[i]])
+        assert (sum(b - a for a, b in merged), len(merged)) == (gone, n)
+
+
+def test_common_prefixes():
+    assert suffix_dedup.common_prefixes([], 9) == [] and suffix_dedup.common_prefixes([b"a"], 9) == [0]
+    assert suffix_dedup.common_prefixes([b"", b"abc", b"abc", b"abd", b"abdef", b"x"], 9) == [0, 0, 3, 2, 3, 0]
+    assert suffix_dedup.common_prefixes([b"abcdef", b"abcdef"], 4) == [0, 4]
+
+
 def test_maximal_repeats_have_all_occurrences():
     rest, left = [b"abcX", b"abcY", b"abcY", b"abdZ"], [b"pq", b"pr", b"s", b"pr"]
     got = sorted((back, ahead, sorted(m)) for back, ahead, m in suffix_dedup.maximal_repeats(rest, left, 4))
