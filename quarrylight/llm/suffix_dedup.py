@@ -23,6 +23,9 @@ common prefix and common left extension come to `width` or more.
 
 What is listed for a document (anchors, ranges) is bounded by its length.
 
+Texts that are equal as a whole come first: Spark groups them by their bytes, the first of each group
+is searched, and the others are repeats from end to end.
+
 Null texts are empty. Documents are in order of doc_id, null first; texts of one doc_id in order
 of a hash of the text, where equal rows are one document and get one result.
 """
@@ -337,7 +340,7 @@ def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, l
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
-    """(doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
+    """A table with (doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
     spark = docs.sparkSession
     n = spread(docs)
     rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions("gram")
@@ -353,7 +356,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> Dat
     spans = materialise(repeats.unionByName(found.filter("start >= 0")), "suffix-repeats")
     discard(found, *tables)
     release(spark)
-    return spans.select("doc", "sub", "start", "stop")
+    return spans
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -383,12 +386,20 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, width: int, most: int, *columns: str) -> DataFrame:
+    """Texts that are equal as a whole are searched once: all but the first are repeats from end to end."""
     prepare(docs.sparkSession)
     table = numbered(docs.select(*dict.fromkeys(["doc_id", "text", *columns])))
-    once = table.select("doc", "sub", "text")
-    if once.groupBy("doc", "sub").agg(F.count("*").alias("n")).filter("n > 1").head(1):
-        once = once.dropDuplicates(["doc", "sub"])  # else a row would be a later copy of its equal
-    spans = repeated_spans(once, width, most).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    name = F.struct("doc", "sub")
+    alike = table.filter(F.octet_length("text") >= width).groupBy("text").agg(F.min(name).alias("name"))
+    once = materialise(alike.select("name.doc", "name.sub", "text"), "suffix-texts")
+    release(docs.sparkSession)
+    sizes = table.select("doc", "sub", F.octet_length("text").cast("long").alias("stop")).filter(F.col("stop") >= width).distinct()
+    copies = sizes.join(once.select("doc", "sub"), ["doc", "sub"], "left_anti").select("doc", "sub", F.lit(0).cast("long").alias("start"), "stop")
+    repeats = repeated_spans(once, width, most)
+    found = repeats.select("doc", "sub", "start", "stop").unionByName(copies)
+    spans = materialise(found.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    discard(once, repeats)
+    release(docs.sparkSession)
     return table.join(spans, ["doc", "sub"], "left")
 
 
