@@ -10,22 +10,22 @@ common prefix and common left extension come to `width` or more.
    of the task are folded there: they are repeats throughout, and the earlier one stands for them.
    Hashes only bring them together. A passage that a third of all rows hold so goes on once from
    each stretch, not once from each row.
-2. Rows meet by k-gram. K-grams with one row are done.
-3. The others fetch their surroundings from the texts and are sorted by their suffixes: an enhanced
-   suffix array. A stack scan over its common prefixes gives the interval tree. In each interval
-   a second scan over the reversed left contexts tests how far they agree; each place where they
-   begin to differ gives a maximal repeat with all its occurrences. The first stays. All decisions
-   are taken on bytes; a collision of hashes costs time and changes nothing.
-4. A k-gram with more than `most` rows, which bounds what a task holds, is first split by halves of
+2. Rows meet by k-gram, sorted by the hash of their surroundings. The first of each kind of
+   surroundings stands for the kind. Each other row claims that its bytes are those around the first;
+   claims on one text at one distance that touch are joined to long ones, and each claim's bytes are
+   fetched from both texts and compared. Only what is equal is a repeat throughout. (Different bytes
+   of equal 64-bit hashes, should that happen, are kept.) K-grams with one kind are done.
+3. The kinds of the others fetch their surroundings from the texts and are sorted by their suffixes:
+   an enhanced suffix array. A stack scan over its common prefixes gives the interval tree. In each
+   interval a second scan over the reversed left contexts tests how far they agree; each place where
+   they begin to differ gives a maximal repeat with all its occurrences. The first stays.
+4. A k-gram with more than `most` kinds, which bounds what a task holds, is first split by halves of
    the places that the anchor can have in the string. A half shares more bytes, which are a longer
    key, and has shorter surroundings, of which equal ones (compared as bytes) fold again; six
    halvings lead to single strings.
 
 What is listed for a document (anchors, ranges) is bounded by its length.
 
-Texts that are equal as a whole come first: Spark groups them by their bytes, the first of each group
-is searched, and the others are repeats from end to end.
-
 Null texts are empty. Documents are in order of doc_id, null first; texts of one doc_id in order
 of a hash of the text, where equal rows are one document and get one result.
 """
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import blocks, discard, materialise, mix, prepare, release, running_sums, spread, sum_hashes, text_buffer
@@ -95,8 +95,8 @@ def _merge(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[first], sub[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
-_ANCHOR = "gram long, doc long, sub long, at long"
-_NAMES = ["gram", "doc", "sub", "at"]
+_ANCHOR = "gram long, around long, doc long, sub long, at long"
+_NAMES = ["gram", "around", "doc", "sub", "at"]
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
@@ -117,7 +117,7 @@ def _equal_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, rows: n
 
 
 def _scan(width: int, stretch: int = 1 << 19):
-    """Rows (gram, doc, sub, at): at is the anchor's place; or, for repeats that a stretch of the task found alone, -1 - start, with the stop in place of gram."""
+    """Rows (gram, around, doc, sub, at): at is the anchor's place * 256 + the bytes right of it; or, for repeats that a stretch of the task found alone, -1 - start, with around the stop and gram any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -135,10 +135,10 @@ def _scan(width: int, stretch: int = 1 << 19):
             again = np.zeros(len(gram), np.bool_)
             again[_equal_before(data, start, left + right, alike)] = True
             kept = ~again
-            yield _batch(*(c[kept] for c in (gram, doc, sub, at)))
+            yield _batch(*(c[kept] for c in (gram, around, doc, sub, at << 8 | right)))
             d, s, begin, end = _merge(doc[again], sub[again], at[again] - left[again], at[again] + right[again])
             if len(d):
-                yield _batch(end, d, s, -1 - begin)
+                yield _batch(mix(d.view(np.uint64)), end, d, s, -1 - begin)
 
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -161,32 +161,74 @@ def _scan(width: int, stretch: int = 1 << 19):
 
 
 _FOUND = "gram long, doc long, sub long, start long, stop long"
+_KINDS = _FOUND + ", first_doc long, first_sub long, shift long"
 
 
 def _found(gram, doc, sub, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (gram, doc, sub, start, stop)], ["gram", "doc", "sub", "start", "stop"])
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram. Gives repeats (start, stop), and the rows (start -1, stop the anchor's place) of each gram with two or more."""
-    last: tuple | None = None  # a gram's row, held until its gram is seen again
-    gone = False  # whether it was given out
-    for batch in batches:
-        gram, doc, sub, at = (batch.column(c).to_numpy() for c in _NAMES)
-        own = at < 0
-        if own.any():
-            yield _found(np.zeros(int(own.sum()), np.int64), doc[own], sub[own], -1 - at[own], gram[own])
-            gram, doc, sub, at = (c[~own] for c in (gram, doc, sub, at))
-        if not len(gram):
-            continue
-        before = np.concatenate([[last is not None and last[0] == gram[0]], gram[1:] == gram[:-1]])
-        give = before.copy()
-        give[:-1] |= before[1:]
-        if before[0] and not gone:
-            yield _found(*([x] for x in (*last[:3], -1, last[3])))
-        if give.any():
-            yield _found(gram[give], doc[give], sub[give], np.full(int(give.sum()), -1), at[give])
-        last, gone = (gram[-1], doc[-1], sub[-1], at[-1]), bool(give[-1])
+def _kind_rows(gram, doc, sub, start, stop, *first) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(c, np.int64)) for c in (gram, doc, sub, start, stop, *first)]
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(columns[0]), pa.int64())] * (8 - len(columns)), ["gram", "doc", "sub", "start", "stop", "first_doc", "first_sub", "shift"])
+
+
+def _kinds(width: int):
+    """Rows sorted by (gram, around, doc, sub, at). Gives repeats (start, stop); claims, which have first_doc, first_sub and shift, the distance to the first's place; and the first of each kind of a gram with two kinds or more (start -1, stop its place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # (gram, around, doc, sub, place) of the last kind's first row
+        gone = False  # whether that was given out
+        for batch in batches:
+            gram, around, doc, sub, at = (batch.column(c).to_numpy() for c in _NAMES)
+            own = at < 0
+            if own.any():
+                yield _kind_rows(gram[own], doc[own], sub[own], -1 - at[own], around[own])
+                gram, around, doc, sub, at = (c[~own] for c in (gram, around, doc, sub, at))
+            if not len(gram):
+                continue
+            place, right = at >> 8, at & 255
+            if last is not None:  # the last kind's first row goes before all
+                gram, around, doc, sub, place = (np.append(np.int64(x), c) for x, c in zip(last, (gram, around, doc, sub, place), strict=True))
+                right = np.append(np.int64(0), right)
+            same_gram = np.append(False, gram[1:] == gram[:-1])
+            again = same_gram & np.append(False, around[1:] == around[:-1])
+            heads = np.flatnonzero(~again)
+            head = heads[np.cumsum(~again) - 1][again]
+            yield _kind_rows(np.zeros(int(again.sum())), doc[again], sub[again], place[again] - np.minimum(place[again], width - GRAM), place[again] + right[again], doc[head], sub[head], place[head] - place[again])
+            several = np.append(False, gram[heads[1:]] == gram[heads[:-1]])
+            several[:-1] |= several[1:]
+            give = several.copy()
+            if last is not None and gone:
+                give[0] = False
+                if len(heads) == 1:
+                    several[0] = True
+            give = heads[give]
+            if len(give):
+                yield _kind_rows(gram[give], doc[give], sub[give], np.full(len(give), -1), place[give])
+            at_end = heads[-1]
+            last, gone = (gram[at_end], around[at_end], doc[at_end], sub[at_end], place[at_end]), bool(several[-1])
+
+    return run
+
+
+def _joined(claims: DataFrame) -> DataFrame:
+    """Claims of one text on another at one distance that touch, as one."""
+    same = ["doc", "sub", "first_doc", "first_sub", "shift"]
+    order = Window.partitionBy(*same).orderBy("start")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = claims.select(*same, "start", "stop", (F.col("start") > before).cast("int").alias("apart"))
+    runs = parted.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*same, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def _proved(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """(gram, doc, sub, start, stop) of the claims whose bytes are equal in both texts. Bytes travel to the first text, once for each claim."""
+    part = lambda at: F.expr(f"substring(cast(text as binary), cast({at} + 1 as int), cast(stop - start as int))")
+    named = claims.join(docs.select("doc", "sub", "text"), ["doc", "sub"]).withColumn("bytes", part("start")).drop("text")
+    firsts = docs.select(F.col("doc").alias("first_doc"), F.col("sub").alias("first_sub"), "text")
+    both = named.join(firsts, ["first_doc", "first_sub"]).filter(F.col("bytes") == part("start + shift"))
+    return both.select(F.lit(0).cast("long").alias("gram"), "doc", "sub", "start", "stop")
 
 
 def _with_gram(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -343,8 +385,13 @@ def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> Dat
     """A table with (doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
     spark = docs.sparkSession
     n = spread(docs)
-    rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions("gram")
-    found = materialise(rows.mapInArrow(_several, _FOUND), "suffix-several")
+    rows = docs.mapInArrow(_scan(width), _ANCHOR).repartition(n, "gram").sortWithinPartitions(*_NAMES)
+    found = materialise(rows.mapInArrow(_kinds(width), _KINDS), "suffix-kinds")
+    release(spark)
+    claims = materialise(_joined(found.filter("first_doc is not null").repartition(n, "doc", "sub", "first_doc", "first_sub", "shift")), "suffix-claims")
+    release(spark)
+    proved = materialise(_proved(claims, docs), "suffix-proved")
+    discard(claims)
     release(spark)
     marks = found.filter("start = -1").groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", F.col("stop").alias("at"))).alias("marks"))
     contexts = materialise(docs.join(marks, ["doc", "sub"]).select("doc", "sub", "text", "marks").mapInArrow(_contexts(width), _CONTEXT), "suffix-contexts")
@@ -353,8 +400,9 @@ def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> Dat
     repeats = contexts.repartition(n, "gram").sortWithinPartitions("gram", "rest").mapInArrow(_solve(width), _FOUND)
     for m in more:
         repeats = repeats.unionByName(m)
-    spans = materialise(repeats.unionByName(found.filter("start >= 0")), "suffix-repeats")
-    discard(found, *tables)
+    alone = found.filter("start >= 0 and first_doc is null").select("gram", "doc", "sub", "start", "stop")
+    spans = materialise(repeats.unionByName(alone).unionByName(proved), "suffix-repeats")
+    discard(found, proved, *tables)
     release(spark)
     return spans
 
@@ -386,19 +434,14 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, width: int, most: int, *columns: str) -> DataFrame:
-    """Texts that are equal as a whole are searched once: all but the first are repeats from end to end."""
     prepare(docs.sparkSession)
     table = numbered(docs.select(*dict.fromkeys(["doc_id", "text", *columns])))
-    name = F.struct("doc", "sub")
-    alike = table.filter(F.octet_length("text") >= width).groupBy("text").agg(F.min(name).alias("name"))
-    once = materialise(alike.select("name.doc", "name.sub", "text"), "suffix-texts")
-    release(docs.sparkSession)
-    sizes = table.select("doc", "sub", F.octet_length("text").cast("long").alias("stop")).filter(F.col("stop") >= width).distinct()
-    copies = sizes.join(once.select("doc", "sub"), ["doc", "sub"], "left_anti").select("doc", "sub", F.lit(0).cast("long").alias("start"), "stop")
+    once = table.select("doc", "sub", "text")
+    if once.groupBy("doc", "sub").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        once = once.dropDuplicates(["doc", "sub"])  # else a row would be a later copy of its equal
     repeats = repeated_spans(once, width, most)
-    found = repeats.select("doc", "sub", "start", "stop").unionByName(copies)
-    spans = materialise(found.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
-    discard(once, repeats)
+    spans = materialise(repeats.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    discard(repeats)
     release(docs.sparkSession)
     return table.join(spans, ["doc", "sub"], "left")
 

@@ -220,8 +220,8 @@ def test_suffix_dedup_keeps_rows_that_come_twice(spark, most):
     assert sorted((x["doc_id"], hashlib.sha256(x["text"].encode()).hexdigest()) for x in left) == sorted((i, want[i][4]) for i, _ in rows if want[i][2] < want[i][1])
 
 
-def test_suffix_dedup_decides_on_bytes(monkeypatch):
-    """Where all surroundings hash alike and hardly any k-gram is told apart, the result is the same."""
+def test_scan_folds_on_bytes(monkeypatch):
+    """Where all surroundings hash alike and hardly any k-gram is told apart, a task folds nothing that differs, and the tree finds all."""
     monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(0))
     plain = suffix_dedup.sum_hashes
     monkeypatch.setattr(suffix_dedup, "sum_hashes", lambda *a: plain(*a) >> np.uint64(55))
@@ -229,11 +229,11 @@ def test_suffix_dedup_decides_on_bytes(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for _, t in rows]), pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int64())], ["text", "doc", "sub"])
     found = [r for b in suffix_dedup._scan(100)(iter([batch])) for r in b.to_pylist()]
     marks, spans = defaultdict(list), defaultdict(list)
-    for r in sorted(found, key=lambda r: r["gram"]):
+    for r in found:
         if r["at"] < 0:
-            spans[r["doc"]].append((-1 - r["at"], r["gram"]))
+            spans[r["doc"]].append((-1 - r["at"], r["around"]))
         else:
-            marks[r["doc"]].append({"gram": r["gram"], "at": r["at"]})
+            marks[r["doc"]].append({"gram": r["gram"], "at": r["at"] >> 8})
     listed = pa.RecordBatch.from_arrays([pa.array([rows[i][1].encode() for i in marks]), pa.array(list(marks), pa.int64()), pa.array([0] * len(marks), pa.int64()), pa.array(list(marks.values()))], ["text", "doc", "sub", "marks"])
     contexts = pa.Table.from_batches(list(suffix_dedup._contexts(100)(iter([listed])))).sort_by([("gram", "ascending"), ("rest", "ascending")])
     for b in suffix_dedup._solve(100)(iter(contexts.to_batches())):
@@ -244,6 +244,34 @@ def test_suffix_dedup_decides_on_bytes(monkeypatch):
         assert (sum(b - a for a, b in merged), len(merged)) == (gone, n)
 
 
+def test_kinds_are_the_same_however_batches_are_cut():
+    r = random.Random(2)
+    rows = sorted((r.randint(0, 12), r.randint(0, 3), r.randint(0, 30), 0, r.randint(0, 50) << 8 | 40) for _ in range(300))
+    rows += [(99, 150, 4, 0, -1 - 7)]
+    want = None
+    for size in (300, 301, 7, 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], suffix_dedup._NAMES) for i in range(0, len(rows), size)]
+        got = sorted((tuple(x.values()) for b in suffix_dedup._kinds(100)(iter(batches)) for x in b.to_pylist()), key=str)
+        want = want or got
+        assert got == want
+    firsts = {}
+    for gram, around, doc, sub, at in rows[:-1]:
+        firsts.setdefault((gram, around), (doc, sub, at >> 8))
+    kinds = [(g, *v) for (g, _), v in firsts.items() if sum(h == g for h, _ in firsts) > 1]
+    assert sorted((g, d, s, stop) for g, d, s, start, stop, f, *_ in want if start == -1) == sorted(kinds)
+    assert sum(f is not None for *_, f, _, _ in want) == 300 - len(firsts) and (99, 4, 0, 7, 150, None, None, None) in want
+
+
+def test_claims_are_joined_and_proved(spark):
+    texts = [(1, "abcdefghij" * 5), (2, "xx" + "abcdefghij" * 4), (3, "abcdefghiX" * 4)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in texts], "doc long, sub long, text string")
+    claims = [(2, 0, 2, 22, 1, 0, -2), (2, 0, 12, 42, 1, 0, -2), (2, 0, 2, 12, 1, 0, 8), (3, 0, 0, 20, 1, 0, 0), (3, 0, 30, 39, 1, 0, 0)]
+    joined = suffix_dedup._joined(spark.createDataFrame(claims, "doc long, sub long, start long, stop long, first_doc long, first_sub long, shift long"))
+    assert sorted((r["doc"], r["start"], r["stop"], r["shift"]) for r in joined.collect()) == [(2, 2, 12, 8), (2, 2, 42, -2), (3, 0, 20, 0), (3, 30, 39, 0)]
+    proved = suffix_dedup._proved(joined, docs).collect()
+    assert sorted((r["doc"], r["start"], r["stop"]) for r in proved) == [(2, 2, 12), (2, 2, 42), (3, 30, 39)]
+
+
 def test_common_prefixes():
     assert suffix_dedup.common_prefixes([], 9) == [] and suffix_dedup.common_prefixes([b"a"], 9) == [0]
     assert suffix_dedup.common_prefixes([b"", b"abc", b"abc", b"abd", b"abdef", b"x"], 9) == [0, 0, 3, 2, 3, 0]
