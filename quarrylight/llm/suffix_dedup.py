@@ -381,7 +381,7 @@ def _split_hot(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame, l
     return contexts, found, tables
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, most: int = 65_536) -> DataFrame:
     """A table with (doc, sub, start, stop): byte ranges to remove, overlapping ones too, of the documents that numbered() gives."""
     spark = docs.sparkSession
     n = spread(docs)
@@ -446,7 +446,7 @@ def _with_spans(docs: DataFrame, width: int, most: int, *columns: str) -> DataFr
     return table.join(spans, ["doc", "sub"], "left")
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 65_536) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row: without each byte that a string of width bytes covers which also starts earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +461,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataF
     return _with_spans(docs, width, most).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, width: int = 100, most: int = 16_384) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 100, most: int = 65_536) -> DataFrame:
     """The documents with their repeated strings taken out, all columns of documents kept; n_chars is that of the new text.
 
     A character that is removed in part goes whole. Rows of which only white space is left go, if anything was removed."""

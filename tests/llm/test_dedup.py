@@ -191,7 +191,7 @@ def passages(seed):
     return [*out, "z" * 700, "ab" * 300, common[3] * 4, "q" * 99, "q" * 100, "q" * 100]
 
 
-@pytest.mark.parametrize("most", [16_384, 2])
+@pytest.mark.parametrize("most", [65_536, 2])
 def test_suffix_dedup(spark, most):
     rows = [(i, t) for i, t in many(spark) if i is not None and i != 5] + [(5000 + i, t) for i, t in enumerate(passages(4))]
     got = suffix_dedup.suffix_dedup(documents(spark, rows), 100, most)
@@ -207,7 +207,7 @@ def test_suffix_dedup_takes_odd_rows(spark):
     assert any(r["text"] is None for r in left)
 
 
-@pytest.mark.parametrize("most", [16_384, 2])
+@pytest.mark.parametrize("most", [65_536, 2])
 def test_suffix_dedup_keeps_rows_that_come_twice(spark, most):
     r = random.Random(7)
     long = "".join(r.choice("abcdefgh ") for _ in range(700))
