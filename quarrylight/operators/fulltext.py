@@ -1,14 +1,18 @@
 """BM25 over several text fields, for many queries in one job.
 
 Query phrases are a small table that is broadcast; documents are scanned once, and only tokens
-that match some phrase leave the scan. So there is no shuffle of the corpus's tokens: what is
-shuffled are matches, by query and document. A materialised postings table (term, id, field,
-pos), sorted by term, serves repeated queries from the few row groups that hold their terms.
+that lie in the queries' ranges leave the scan. So there is no shuffle of the corpus's tokens: what is
+shuffled are matches, by query and document. An index keeps the documents, their postings (term, id,
+field, pos) sorted by term, and the corpus's statistics, so that a search reads the few row groups
+that hold its terms and no text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.columns import tokens
@@ -20,6 +24,9 @@ SNIPPET_FIELDS = ("content", "breadcrumb")
 #: Phrase tokens of one job. More are refused, so that what is broadcast is bounded.
 MOST_TOKENS = 100_000
 
+#: Ranges of terms that a filter names. Where queries have more, neighbours are joined and the join sorts out the rest.
+MOST_RANGES = 64
+
 _TERMS = "query_id string, phrase int, place int, key string, width int, tokens int, phrases int, every boolean"
 
 
@@ -54,25 +61,66 @@ def postings(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return each.select("id", "dl", "field", F.posexplode("terms").alias("pos", "term"))
 
 
-def write_postings(docs: DataFrame, fields: tuple[str, ...], path: str, files: int) -> None:
-    """Sorted by term, so that minima and maxima of row groups prune exact and prefix lookups."""
-    postings(docs, fields).repartitionByRange(files, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+@dataclass
+class TextIndex:
+    """Documents as stored, postings sorted by term, and corpus_stats()."""
 
+    docs: DataFrame
+    postings: DataFrame
+    stats: DataFrame
 
-def bm25(docs: DataFrame, queries: dict[str, Match], fields: tuple[str, ...] = CHUNK_FIELDS, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score) of all matches; higher is better. index: a postings table to read instead of the texts; stats: corpus_stats() kept from before, which saves a scan.
 
-    A phrase's idf is ln((n - d + 0.5) / (d + 0.5)), 1e-6 where that isn't positive, over all rows of docs; its frequency is summed over fields."""
+def write_index(docs: DataFrame, fields: tuple[str, ...], path: str, files: int) -> TextIndex:
+    """Write the three tables below path. Postings are sorted by term, so that minima and maxima of row groups prune exact and prefix lookups."""
     spark = docs.sparkSession
-    terms = match_table(spark, queries)
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    kept = spark.read.schema(docs.schema).parquet(f"{path}/docs")
+    postings(kept, fields).repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    sizes = fielded(kept, fields).select("dl")
+    sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "stats")))
+
+
+def term_ranges(queries: dict[str, Match], most: int = MOST_RANGES) -> list[tuple[str, str]]:
+    """Disjoint ascending ranges of terms, `most` at most, that hold all terms the queries can match."""
+    asked = {(t, t + "\U0010ffff" if p.prefix and i == len(p.tokens) - 1 else t) for m in queries.values() for p in m.phrases for i, t in enumerate(p.tokens)}
+    out: list[tuple[str, str]] = []
+    for low, high in sorted(asked):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    each = -(-len(out) // most)
+    return [(out[i][0], out[min(i + each, len(out)) - 1][1]) for i in range(0, len(out), each or 1)]
+
+
+def _in_ranges(term: Column, queries: dict[str, Match]) -> Column:
+    return reduce(lambda a, b: a | b, (term.between(low, high) for low, high in term_ranges(queries)), F.lit(False))
+
+
+def bm25(docs: DataFrame | TextIndex, queries: dict[str, Match], fields: tuple[str, ...] = CHUNK_FIELDS) -> DataFrame:
+    """(query_id, id, score) of all matches; higher is better. From an index no text is read.
+
+    A phrase's idf is ln((n - d + 0.5) / (d + 0.5)), 1e-6 where that isn't positive, over all rows of docs; its frequency is summed over fields."""
+    indexed = isinstance(docs, TextIndex)
+    source = docs.postings if indexed else postings(docs, fields)
+    terms = match_table(source.sparkSession, queries)
     widths = sorted({len(p.tokens[-1]) for m in queries.values() for p in m.phrases if p.prefix})
     keys = F.array(F.struct(F.lit(0).alias("width"), F.col("term").alias("key")), *(F.struct(F.lit(w).alias("width"), F.left("term", F.lit(w)).alias("key")) for w in widths))
-    source = index if index is not None else postings(docs, fields)
-    hits = source.select("id", "dl", "field", "pos", F.explode(keys).alias("k")).select("id", "dl", "field", "pos", "k.width", "k.key").join(F.broadcast(terms), ["width", "key"])
-    starts = hits.groupBy("query_id", "phrase", "id", "field", (F.col("pos") - F.col("place")).alias("start")).agg(F.countDistinct("place").alias("found"), F.first("tokens").alias("tokens"), F.first("dl").alias("dl"), F.first("phrases").alias("phrases"), F.first("every").alias("every"))
-    frequency = starts.filter("found = tokens").groupBy("query_id", "phrase", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"), F.first("phrases").alias("phrases"), F.first("every").alias("every"))
+    near = source.filter(_in_ranges(F.col("term"), queries))
+    hits = near.select("id", "dl", "field", "pos", F.explode(keys).alias("k")).select("id", "dl", "field", "pos", "k.width", "k.key").join(F.broadcast(terms), ["width", "key"])
+    kept = (F.first("dl").alias("dl"), F.first("phrases").alias("phrases"), F.first("every").alias("every"))
+    same = ["query_id", "phrase", "id"]
+    frequency = hits.filter("tokens = 1").groupBy(*same).agg(F.count("*").alias("f"), *kept)
+    if any(len(p.tokens) > 1 for m in queries.values() for p in m.phrases):
+        starts = hits.filter("tokens > 1").groupBy(*same, "field", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("found"), F.first("tokens").alias("tokens"), *kept)
+        frequency = frequency.unionByName(starts.filter("found = tokens").groupBy(*same).agg(F.count("*").alias("f"), *kept))
     spread = frequency.groupBy("query_id", "phrase").agg(F.count("*").alias("d"))
-    stats = F.broadcast(stats if stats is not None else corpus_stats(docs, fields))  # one row
+    stats = F.broadcast(docs.stats if indexed else corpus_stats(docs, fields))  # one row
     idf = F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = frequency.join(F.broadcast(spread), ["query_id", "phrase"]).crossJoin(stats).withColumn("weight", weight)
@@ -86,21 +134,21 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 
 def term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n): chunks that have the term as a symbol or anywhere in their text, whatever its case. One scan for all terms."""
-    if not terms:
-        return chunks.sparkSession.createDataFrame([], "term string, n long")
-    low = F.lower("content")
-    one = lambda t: F.count_if(F.exists("symbols", lambda s: F.lower(s) == t.lower()) | low.contains(t.lower()))
-    counts = chunks.agg(F.array(*(F.struct(F.lit(t).alias("term"), one(t).alias("n")) for t in terms)).alias("c"))
-    return counts.select(F.explode("c").alias("c")).select("c.term", "c.n")
+    """(term, n): chunks that have the term as a symbol or anywhere in their text, whatever its case. One scan for all terms, which come as one broadcast row."""
+    spark = chunks.sparkSession
+    one = spark.createDataFrame([([(t, t.lower()) for t in dict.fromkeys(terms)],)], "terms array<struct<term: string, low: string>>")
+    rows = chunks.select(F.lower("content").alias("content"), F.transform("symbols", F.lower).alias("symbols")).crossJoin(F.broadcast(one))  # one row
+    held = F.filter("terms", lambda t: F.array_contains("symbols", t["low"]) | F.col("content").contains(t["low"]))
+    found = rows.select(F.explode(held).alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count("*").alias("n"))
+    return one.select(F.explode("terms.term").alias("term")).join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def search_snippets(snippets: DataFrame, queries: dict[str, Match], limit: int = 10, path_filter: str | None = None) -> DataFrame:
+def search_snippets(snippets: DataFrame | TextIndex, queries: dict[str, Match], limit: int = 10, path_filter: str | None = None) -> DataFrame:
     """Documentation search: over-fetches twice the limit, filters by path, cuts. (query_id, id, path, score, relevance_percent)"""
     from quarrylight.functions.columns import matches_glob, snippet_percent
 
     best = top_k(bm25(snippets, queries, SNIPPET_FIELDS), 2 * limit)
-    rows = best.join(snippets.select("id", "path"), "id")
+    rows = best.join((snippets.docs if isinstance(snippets, TextIndex) else snippets).select("id", "path"), "id")
     if path_filter:
         rows = rows.filter(matches_glob(F.col("path"), path_filter))
     return top_k(rows.drop("rank"), limit).select("query_id", "id", "path", "score", snippet_percent(F.col("score")).alias("relevance_percent"))

@@ -2,55 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.operators import fulltext
 from quarrylight.plans.query import STANDARD_PROTOCOLS, camel_terms, is_conceptual, query_terms
 
 RARE = 10  # a term that fewer chunks have is rare
 
 
-def _has_symbol(term: str):
-    return F.exists("symbols", lambda s: F.lower(s) == term.lower())
-
-
-def _first(terms: list[str], holds):
-    """Number of the first term that holds, -1 if none."""
-    out = F.lit(-1)
-    for i in reversed(range(len(terms))):
-        out = F.when(holds(terms[i]), i).otherwise(out)
-    return out
+def query_table(chunks: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """A row for each query, to be broadcast: terms (low, rare) and camel (term, rare) in the query's order, and whether it's conceptual. A term that fewer than RARE chunks have is rare."""
+    spark = chunks.sparkSession
+    terms = [(q, i, t, t.lower()) for q, text in queries.items() for i, t in enumerate(query_terms(text))]
+    camel = {q: camel_terms(text) for q, text in queries.items()}
+    counts = fulltext.term_counts(chunks, [t for *_, t, _ in terms])
+    rows = spark.createDataFrame(terms, "query_id string, place int, term string, low string").join(F.broadcast(counts), "term").withColumn("rare", F.col("n") < RARE)
+    listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "term", "low", "rare"))).alias("terms"))
+    each = spark.createDataFrame([(q, camel[q], is_conceptual(text)) for q, text in queries.items()], "query_id string, names array<string>, conceptual boolean").join(listed, "query_id", "left")
+    none = F.array().cast("array<struct<place: int, term: string, low: string, rare: boolean>>")
+    terms_ = F.coalesce("terms", none)
+    return each.select("query_id", terms_.alias("terms"), F.filter(terms_, lambda t: F.array_contains("names", t["term"])).alias("camel"), "conceptual")
 
 
-def _is_rare(number, terms: list[str], counts: dict[str, int]):
-    rare = [i for i, t in enumerate(terms) if counts.get(t, 0) < RARE]
-    return number.isin(rare) if rare else F.lit(False)
+def _first_is_rare(terms: str, holds) -> Column:
+    return F.coalesce(F.get(F.filter(terms, holds), F.lit(0))["rare"], F.lit(False))
 
 
-def exact_symbol(query: str, counts: dict[str, int]):
-    """The first term that equals a symbol is rare."""
-    terms = query_terms(query)
-    return _is_rare(_first(terms, _has_symbol), terms, counts)
+def exact_symbol() -> Column:
+    """The first of the query's terms that equals a symbol is rare."""
+    return _first_is_rare("terms", lambda t: F.array_contains(F.transform("symbols", F.lower), t["low"]))
 
 
-def exact_content(query: str, counts: dict[str, int]):
-    terms = camel_terms(query)
-    return _is_rare(_first(terms, lambda t: F.col("content").contains(t)), terms, counts)
+def exact_content() -> Column:
+    return _first_is_rare("camel", lambda t: F.col("content").contains(t["term"]))
 
 
 def standard_extension():
     return (F.col("kind") == "extension") & F.arrays_overlap("conformances", F.array(*map(F.lit, STANDARD_PROTOCOLS)))
 
 
-def whole_term(query: str):
+def whole_term() -> Column:
     """A chunk has one of the query's camel-case terms whole; true if there are none."""
-    terms = camel_terms(query)
-    if not terms:
-        return F.lit(True)
-    held = F.lit(False)
-    for t in terms:
-        held = held | F.array_contains("symbols", t) | F.col("content").contains(t) | F.array_contains("references", t)
-    return held
+    held = F.exists("camel", lambda t: F.array_contains("symbols", t["term"]) | F.col("content").contains(t["term"]) | F.array_contains("references", t["term"]))
+    return (F.size("camel") == 0) | F.coalesce(held, F.lit(False))
 
 
 def path_boost():
@@ -64,13 +59,12 @@ def path_boost():
     )
 
 
-def rank_boost(query: str, counts: dict[str, int]):
-    """Product of a chunk's boosts for a query; counts: chunks that have each term."""
-    out = F.when(exact_symbol(query, counts), 2.5).when(exact_content(query, counts), 2.0).otherwise(1.0) * path_boost()
+def rank_boost() -> Column:
+    """Product of a chunk's boosts, over rows that have the columns of a chunk and of query_table()."""
+    out = F.when(exact_symbol(), 2.5).when(exact_content(), 2.0).otherwise(1.0) * path_boost()
     out = out * F.when(F.col("signature").startswith("public "), 1.1).otherwise(1.0)
-    if is_conceptual(query):
-        out = out * F.when(standard_extension(), 0.5).otherwise(1.0)
-    return out * F.when(whole_term(query), 1.0).otherwise(0.3)
+    out = out * F.when(F.col("conceptual") & F.coalesce(standard_extension(), F.lit(False)), 0.5).otherwise(1.0)
+    return out * F.when(whole_term(), 1.0).otherwise(0.3)
 
 
 def conformance_index(chunks: DataFrame) -> DataFrame:

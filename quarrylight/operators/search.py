@@ -1,7 +1,8 @@
 """Hybrid search, multi-hop expansion, overlay and research, batched by query.
 
-The driver turns query strings into plans; everything on data is one lazy DataFrame. Only counts
-of the queries' own terms (one row a term) come back before the boosts.
+The driver turns query strings into small tables that are broadcast, so that no expression grows with
+the number of queries; everything on data is one lazy DataFrame. Chunks may be a table or a TextIndex,
+from which full-text search reads postings instead of texts.
 """
 
 from __future__ import annotations
@@ -13,15 +14,21 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.columns import has_extension, hop_score, matches_glob, search_percent
 from quarrylight.operators import fulltext, fusion, ranking, vectors
-from quarrylight.plans.query import SearchOptions, conformance_target, intent, prepared_match, query_terms
+from quarrylight.operators.fulltext import TextIndex
+from quarrylight.plans.query import SearchOptions, conformance_target, intent, prepared_match
+from quarrylight.session import stored
 
 RESULT = ["query_id", "chunk_id", "path", "kind", "start_line", "end_line", "score", "bm25_score", "semantic_score", "bm25_rank", "semantic_rank", "is_multi_hop", "hop_depth", "exact_symbol_match"]
 
 
-def bm25_search(chunks: DataFrame, queries: dict[str, str], options: SearchOptions = SearchOptions()) -> DataFrame:
+def _table(chunks: DataFrame | TextIndex) -> DataFrame:
+    return chunks.docs if isinstance(chunks, TextIndex) else chunks
+
+
+def bm25_search(chunks: DataFrame | TextIndex, queries: dict[str, str], options: SearchOptions = SearchOptions()) -> DataFrame:
     """(query_id, id, score, rank): over-fetches twice the limit, then filters; rank is the place before the filters."""
     best = fulltext.top_k(fulltext.bm25(chunks, {q: prepared_match(t, options.strict_reference) for q, t in queries.items()}), 2 * options.limit)
-    return _cut(best.join(chunks.select("id", "path"), "id").filter(_filters(options)), options.limit).select("query_id", "id", "score", "rank")
+    return _cut(best.join(_table(chunks).select("id", "path"), "id").filter(_filters(options)), options.limit).select("query_id", "id", "score", "rank")
 
 
 def semantic_only(chunks: DataFrame, embeddings: DataFrame, query_vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -38,10 +45,11 @@ def _cut(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(by, 9).desc(), "id"))).filter(F.col("_n") <= k).drop("_n")
 
 
-def _index(chunks: DataFrame, embeddings: DataFrame, queries: dict[str, str], query_vectors: DataFrame, options: SearchOptions, bm25_queries: dict[str, str] | None) -> DataFrame:
+def _index(chunks: DataFrame | TextIndex, embeddings: DataFrame, queries: dict[str, str], query_vectors: DataFrame, options: SearchOptions, bm25_queries: dict[str, str] | None) -> DataFrame:
     fetch = max(options.fetch_factor * options.limit, options.result_factor * options.limit)
     text = bm25_queries or queries
     lexical = fulltext.top_k(fulltext.bm25(chunks, {q: prepared_match(t, options.strict_reference) for q, t in text.items()}), fetch)
+    chunks = _table(chunks)
     semantic = vectors.semantic_search(chunks, embeddings, query_vectors, {q: intent(t) for q, t in queries.items()}, fetch)
     targets = {q: t for q, text in queries.items() if (t := conformance_target(text, options.strict_reference))}
     conforming = ranking.conforming_types(chunks, targets, fetch, options.strict_reference)
@@ -51,27 +59,23 @@ def _index(chunks: DataFrame, embeddings: DataFrame, queries: dict[str, str], qu
     rows = rows.withColumn("conforms", F.col("conforms_rank").isNotNull())
     rows = rows.join(chunks.select("id", "path", "kind", "start_line", "end_line", "symbols", "references", "conformances", "content", "signature"), "id").filter(_filters(options))
     rows = _cut(rows, options.result_factor * options.limit, "fused")
-    terms = sorted({t for text in queries.values() for t in query_terms(text)})
-    counts = {r["term"]: r["n"] for r in fulltext.term_counts(chunks, terms).collect()}  # a row for each term of the queries
-    boost, exact = F.lit(1.0), F.lit(False)
-    for q, text in queries.items():
-        boost = F.when(F.col("query_id") == q, ranking.rank_boost(text, counts)).otherwise(boost)
-        exact = F.when(F.col("query_id") == q, ranking.exact_symbol(text, counts) | ranking.exact_content(text, counts)).otherwise(exact)
-    rows = rows.withColumns({"score": F.col("fused") * boost, "exact_symbol_match": F.coalesce(exact, F.lit(False)) | F.col("conforms")})
+    rows = rows.join(F.broadcast(ranking.query_table(chunks, queries)), "query_id")
+    exact = ranking.exact_symbol() | ranking.exact_content()
+    rows = rows.withColumns({"score": F.col("fused") * ranking.rank_boost(), "exact_symbol_match": exact | F.col("conforms")})
     return rows.withColumns({"is_multi_hop": F.lit(False), "hop_depth": F.lit(0), "chunk_id": F.col("id")})
 
 
-def hybrid_search(chunks: DataFrame, embeddings: DataFrame, queries: dict[str, str], query_vectors: DataFrame, options: SearchOptions = SearchOptions(), bm25_queries: dict[str, str] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame | TextIndex, embeddings: DataFrame, queries: dict[str, str], query_vectors: DataFrame, options: SearchOptions = SearchOptions(), bm25_queries: dict[str, str] | None = None) -> DataFrame:
     """RESULT columns and relevance_percent, the `limit` best of each query by score, ties by id.
 
     bm25_queries: other texts for the full-text leg, as an expanded search has them."""
     rows = _index(chunks, embeddings, queries, query_vectors, options, bm25_queries)
     if options.multi_hop:
-        rows = rows.persist()  # at most result_factor * limit rows a query
+        rows = stored(rows, "hits")  # at most result_factor * limit rows a query
         hops = multi_hop(chunks, rows.select("query_id", "id", "score", "references"), options)
         keep = rows.select(*RESULT)
         none = {c: F.lit(None).cast(t) for c, t in (("bm25_score", "double"), ("semantic_score", "double"), ("bm25_rank", "int"), ("semantic_rank", "int"))}
-        extra = hops.join(chunks.select("id", "path", "kind", "start_line", "end_line"), "id").withColumns(none | {"chunk_id": F.col("id"), "is_multi_hop": F.lit(True), "exact_symbol_match": F.lit(False)}).select(*RESULT)
+        extra = hops.join(_table(chunks).select("id", "path", "kind", "start_line", "end_line"), "id").withColumns(none | {"chunk_id": F.col("id"), "is_multi_hop": F.lit(True), "exact_symbol_match": F.lit(False)}).select(*RESULT)
         rows = keep.unionByName(extra).withColumn("id", F.col("chunk_id"))
         if not options.strict_reference:
             best = Window.partitionBy("query_id", "id").orderBy(F.desc("score"), "hop_depth")
@@ -79,25 +83,27 @@ def hybrid_search(chunks: DataFrame, embeddings: DataFrame, queries: dict[str, s
     return _cut(rows, options.limit).select(*RESULT, search_percent(F.col("score"), F.col("semantic_score")).alias("relevance_percent"))
 
 
-def multi_hop(chunks: DataFrame, start: DataFrame, options: SearchOptions, frontier: int = 5, fan: int = 3) -> DataFrame:
+def multi_hop(chunks: DataFrame | TextIndex, start: DataFrame, options: SearchOptions, frontier: int = 5, fan: int = 3) -> DataFrame:
     """(query_id, id, score, hop_depth): from the best rows of each frontier (query_id, id, score, references), the best chunks for each reference, with scores that fall by 0.7 a hop.
 
-    One full-text job for all references of a depth. The frontier is by score, then id; references are in alphabetical order."""
-    spark = chunks.sparkSession
+    One full-text job for all references of a depth. The frontier is by score, then id; references are in alphabetical order.
+    The names of one depth come to the driver, which parses them; more than fulltext.MOST_TOKENS are refused."""
+    table = _table(chunks)
+    spark = table.sparkSession
     found, level = None, start
-    stats = fulltext.corpus_stats(chunks, fulltext.CHUNK_FIELDS).persist()
     filters = replace(options, extensions=())
     for depth in range(1, options.multi_hop + 1):
         top = _cut(level, frontier)
         edges = top.select("query_id", F.explode(F.array_distinct("references")).alias("reference")).distinct()
-        names = [r[0] for r in edges.select("reference").distinct().orderBy("reference").collect()]  # frontier rows times their references, for the queries of one job
+        names = [r[0] for r in edges.select("reference").distinct().orderBy("reference").limit(fulltext.MOST_TOKENS + 1).collect()]
         if not names:
             break
         matches = {n: prepared_match(n, options.strict_reference) for n in names}
-        best = fulltext.top_k(fulltext.bm25(chunks, matches, stats=stats), fan).select(F.col("query_id").alias("reference"), "id", "score")
+        best = fulltext.top_k(fulltext.bm25(chunks, matches), fan).select(F.col("query_id").alias("reference"), "id", "score")
         hops = edges.join(best, "reference").join(level.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        hops = hops.join(chunks.select("id", "path", "references"), "id").filter(_filters(filters))
-        hops = hops.groupBy("query_id", "id").agg(F.max("score").alias("raw"), F.first("references").alias("references")).select("query_id", "id", hop_score(F.col("raw"), depth).alias("score"), F.lit(depth).alias("hop_depth"), "references").persist()  # at most frontier * references * fan rows a query
+        hops = hops.join(table.select("id", "path", "references"), "id").filter(_filters(filters))
+        hops = hops.groupBy("query_id", "id").agg(F.max("score").alias("raw"), F.first("references").alias("references"))
+        hops = stored(hops.select("query_id", "id", hop_score(F.col("raw"), depth).alias("score"), F.lit(depth).alias("hop_depth"), "references"), "hops")  # at most frontier * references * fan rows a query
         found = hops if found is None else found.unionByName(hops)
         level = hops.drop("hop_depth")
     if found is None:

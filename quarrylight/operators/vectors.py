@@ -102,31 +102,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | N
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
-def intent_boost(intent) -> F.Column:
-    """Product of the metadata boosts that an analysed query asks for."""
-    out = F.lit(1.0)
-    if intent.implementation:
-        for name in intent.types:
-            t = name.lower()
-            out = out * F.when(F.exists("conformances", lambda c: F.lower(c).contains(t)), 1.5).when(F.exists("symbols", lambda s: F.lower(s).contains(t)), 1.2).otherwise(1.0)
-    if intent.kinds:
-        out = out * F.when(F.col("kind").isin(intent.kinds), 1.3).otherwise(1.0)
-    if intent.protocol:
-        out = out * F.when(F.col("kind") == "protocol", 1.3).otherwise(1.0)
-    if intent.implementation:
-        out = out * F.when((F.col("kind") != "protocol") & (F.size("conformances") > 0), 1.2).otherwise(1.0)
-    return out
+def intent_table(spark, intents: dict) -> DataFrame:
+    """A row for each query whose intent calls for boosts, to be broadcast."""
+    rows = [(q, i.implementation, i.protocol, [t.lower() for t in i.types], i.kinds) for q, i in intents.items() if i.reranks]
+    return spark.createDataFrame(rows, "query_id string, implementation boolean, protocol boolean, types array<string>, kinds array<string>")
+
+
+def intent_boost() -> F.Column:
+    """Product of the metadata boosts that an analysed query asks for, over rows that have the columns of a chunk and of intent_table()."""
+    named = lambda c, t: F.exists(c, lambda x: F.lower(x).contains(t))
+    types = F.aggregate("types", F.lit(1.0), lambda out, t: out * F.when(named("conformances", t), 1.5).when(named("symbols", t), 1.2).otherwise(1.0))
+    out = F.when(F.col("implementation"), types).otherwise(1.0)
+    out = out * F.when((F.size("kinds") > 0) & F.array_contains("kinds", F.col("kind")), 1.3).otherwise(1.0)
+    out = out * F.when(F.col("protocol") & (F.col("kind") == "protocol"), 1.3).otherwise(1.0)
+    return out * F.when(F.col("implementation") & (F.col("kind") != "protocol") & (F.size("conformances") > 0), 1.2).otherwise(1.0)
 
 
 def semantic_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, intents: dict, limit: int) -> DataFrame:
     """(query_id, id, score, rank): over-fetches twice the limit, boosts queries whose intent is known, sorts again and cuts."""
     best = nearest(vectors, queries, 2 * limit).drop("rank")
-    boost = F.lit(1.0)
-    for name, found in intents.items():
-        if found.reranks:
-            boost = F.when(F.col("query_id") == name, intent_boost(found)).otherwise(boost)
-    rows = best.join(chunks.select("id", "kind", "symbols", "conformances"), "id", "left").withColumn("score", F.col("score") * F.coalesce(boost, F.lit(1.0)))
-    return top_k(rows.select("query_id", "id", "score"), limit)
+    rows = best.join(chunks.select("id", "kind", "symbols", "conformances"), "id", "left").join(F.broadcast(intent_table(chunks.sparkSession, intents)), "query_id", "left")
+    boost = F.when(F.col("implementation").isNotNull(), F.coalesce(intent_boost(), F.lit(1.0))).otherwise(1.0)
+    return top_k(rows.select("query_id", "id", (F.col("score") * boost).alias("score")), limit)
 
 
 def hash_embedding(text: str, dimension: int) -> np.ndarray:

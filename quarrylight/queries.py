@@ -65,11 +65,21 @@ CHUNKS_SQL = rf"""
 _CHUNK_TEXT = "t, symbols, []::VARCHAR[], []::VARCHAR[], regexp_extract_all(lower(array_to_string(conformances, ' ')), '[\\p{L}\\p{N}]+')"
 
 
-def bm25_sql(matches: dict, source: str = "chunks", fields: str = _CHUNK_TEXT, name: str = "scored") -> str:
+# What each query string asks for, written out by hand, so that the SQL doesn't come from the parser that it checks. A star marks a prefix,
+# a space a phrase of neighbouring tokens; all phrases are required ("all") or one is enough ("any").
+_ASKED = {"q1": ("all", "the*", "and*", "with*"), "q2": ("all", "para*", "que*"), "q3": ("all", "codable", "und*"), "q4": ("all", "thing*"), "q5": ("all", "what*", "implements*", "codable")}
+_ASKED_PHRASES = {"p1": ("all", "de", "la"), "p2": ("all", "of the*"), "p3": ("any", "foo the*")}
+_ASKED_SNIPPETS = {"s1": ("any", "please*", "help*"), "s2": ("any", "the*"), "s3": ("any", "user*")}
+_ASKED_EXPANDED = {"q1": ("all", "the*", "and*", "with*", "of"), "q2": ("all", "para*", "que*", "la"), "q4": ("all", "thing*", "that*")}
+#: For the boosts: terms that aren't stop words, camel-case ones of them, and whether the query is a question.
+_BOOSTED = {"q1": (["and"], [], False), "q2": (["para", "que"], [], False), "q3": (["Codable", "und"], ["Codable"], False), "q4": (["thing"], [], False), "q5": (["Codable"], ["Codable"], True)}
+
+
+def bm25_sql(asked: dict[str, tuple[str, ...]], source: str = "chunks", fields: str = _CHUNK_TEXT, name: str = "scored") -> str:
     """CTEs that end in `name`(query_id, id, score)."""
     values = ", ".join(
-        f"('{q}', {i}, {j}, '{t}', {str(p.prefix and j == len(p.tokens) - 1).lower()}, {len(p.tokens)}, {len(m.phrases)}, {str(m.every).lower()})"
-        for q, m in matches.items() for i, p in enumerate(m.phrases) for j, t in enumerate(p.tokens)
+        f"('{q}', {i}, {j}, '{t.rstrip('*')}', {str(t.endswith('*')).lower()}, {len(phrase.split())}, {len(phrases)}, {str(how == 'all').lower()})"
+        for q, (how, *phrases) in asked.items() for i, phrase in enumerate(phrases) for j, t in enumerate(phrase.split())
     )
     return f"""
     terms(query_id, phrase, place, key, prefix, tokens, phrases, every_) AS (VALUES {values}),
@@ -97,27 +107,28 @@ _KNN = f"""asked AS (SELECT 'q' || (vec_id + 1) AS query_id, embedding::DOUBLE[]
 _KNN_ALL = """asked AS (SELECT 'q' || vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
     near AS (SELECT query_id, vec_id::VARCHAR AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, asked)"""
 
-_MATCHES = {q: prepared_match(t) for q, t in TEXTS.items()}
+_MATCHES = {q: prepared_match(t) for q, t in TEXTS.items()}  # for the queries; the SQL has its own
 _PHRASES = {"p1": prepared_match("de la", False), "p2": prepared_match("of-the", False), "p3": prepared_match("foo_the and")}
 
 # --- full text ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {CHUNKS_SQL}, {bm25_sql(_MATCHES)} SELECT query_id, id, round(score, 6) AS score, rank FROM {_top_sql('scored', 20)}")
+@query(f"WITH {CHUNKS_SQL}, {bm25_sql(_ASKED)} SELECT query_id, id, round(score, 6) AS score, rank FROM {_top_sql('scored', 20)}")
 def bm25_top_k(spark, sf_dir):
-    return _rounded(fulltext.top_k(fulltext.bm25(corpus.chunks(spark, sf_dir), _MATCHES), 20), "score")
+    return _rounded(fulltext.top_k(fulltext.bm25(corpus.index(spark, sf_dir), _MATCHES), 20), "score")
 
 
-@query(f"WITH {CHUNKS_SQL}, {bm25_sql(_PHRASES)} SELECT query_id, id, round(score, 6) AS score FROM scored")
+@query(f"WITH {CHUNKS_SQL}, {bm25_sql(_ASKED_PHRASES)} SELECT query_id, id, round(score, 6) AS score FROM scored")
 def bm25_phrases(spark, sf_dir):
+    """From the texts themselves, without an index."""
     return _rounded(fulltext.bm25(corpus.chunks(spark, sf_dir), _PHRASES), "score")
 
 
-@query(rf"""WITH {CHUNKS_SQL}, {bm25_sql(_MATCHES)}, best AS {_top_sql('scored', 40)},
+@query(rf"""WITH {CHUNKS_SQL}, {bm25_sql(_ASKED)}, best AS {_top_sql('scored', 40)},
     kept AS (SELECT query_id, id, score, rank FROM best JOIN chunks USING (id) WHERE regexp_matches(path, '^(?:.*/)?Sources/[^/]*/[^/]*\.swift$'))
     SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM kept) WHERE n <= 20""")
 def bm25_filtered_search(spark, sf_dir):
-    return _rounded(search.bm25_search(corpus.chunks(spark, sf_dir), TEXTS, SearchOptions(limit=20, path_filter="**/Sources/*/*.swift", extensions=("swift",))), "score")
+    return _rounded(search.bm25_search(corpus.index(spark, sf_dir), TEXTS, SearchOptions(limit=20, path_filter="**/Sources/*/*.swift", extensions=("swift",))), "score")
 
 
 _SNIPPETS = r"""snip AS (SELECT conv_id || '-' || turn AS id, '/docs/c' || conv_id || (CASE WHEN turn % 2 = 0 THEN '.md' ELSE '.txt' END) AS path,
@@ -125,7 +136,7 @@ _SNIPPETS = r"""snip AS (SELECT conv_id || '-' || turn AS id, '/docs/c' || conv_
 _SNIPPET_MATCHES = {q: snippet_match(t) for q, t in SNIPPET_TEXTS.items()}
 
 
-@query(rf"""WITH {_SNIPPETS}, {bm25_sql(_SNIPPET_MATCHES, 'snip', 'a, b')}, best AS {_top_sql('scored', 20)},
+@query(rf"""WITH {_SNIPPETS}, {bm25_sql(_ASKED_SNIPPETS, 'snip', 'a, b')}, best AS {_top_sql('scored', 20)},
     kept AS (SELECT query_id, id, path, score FROM best JOIN snip USING (id) WHERE regexp_matches(path, '^(?:.*/)?docs/[^/]*\.md$'))
     SELECT query_id, id, path, round(score, 6) AS score, floor(least(score / 25, 1) * 100)::INT AS relevance_percent
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM kept) WHERE n <= 10""")
@@ -141,10 +152,16 @@ def term_counts(spark, sf_dir):
     return fulltext.term_counts(corpus.chunks(spark, sf_dir), _TERMS)
 
 
-@query(rf"WITH {CHUNKS_SQL}, {bm25_sql(_MATCHES)} SELECT count(*) AS n, round(avgdl, 6) AS avgdl FROM stats GROUP BY avgdl")
+@query(rf"WITH {CHUNKS_SQL}, {bm25_sql(_ASKED)} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(spark, sf_dir):
-    one = fulltext.corpus_stats(corpus.chunks(spark, sf_dir), fulltext.CHUNK_FIELDS)
-    return _rounded(one.select(F.lit(1).cast("long").alias("n"), "avgdl"), "avgdl")
+    return _rounded(fulltext.corpus_stats(corpus.chunks(spark, sf_dir), fulltext.CHUNK_FIELDS), "avgdl")
+
+
+@query(rf"WITH {CHUNKS_SQL}, {bm25_sql(_ASKED)} SELECT term, count(DISTINCT id) AS chunks, count(*) AS places, sum(pos * (field + 1))::BIGINT AS spread, max(dl)::BIGINT AS longest FROM tokens_ GROUP BY term")
+def index_postings(spark, sf_dir):
+    """What the index that the searches read holds of each term."""
+    rows = corpus.index(spark, sf_dir).postings
+    return rows.groupBy("term").agg(F.countDistinct("id").alias("chunks"), F.count("*").alias("places"), F.sum(F.col("pos") * (F.col("field") + 1)).alias("spread"), F.max("dl").cast("long").alias("longest"))
 
 
 # --- vectors -----------------------------------------------------------------------------------
@@ -177,47 +194,44 @@ def knn_bucketed(spark, sf_dir):
 
 @query()
 def hash_embeddings(spark, sf_dir):
+    """tests/test_retrieval.py compares the digests with a plain version."""
     from quarrylight.session import ship
 
     ship(spark)
-    rows = corpus.snippets(spark, sf_dir).filter("content <> ''")
-    return vectors.embed(rows, dimension=16).select("id", F.size("embedding").alias("dimension"), F.round(vectors.dot("embedding", "embedding"), 4).alias("norm"))
+    rows = vectors.embed(corpus.snippets(spark, sf_dir).filter("content <> ''"))
+    digest = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string"))), 256)
+    return rows.select("id", F.size("embedding").alias("dimension"), F.round(vectors.dot("embedding", "embedding"), 4).alias("norm"), digest.alias("digest"))
 
 
-def _intent_sql(text: str) -> str:
-    found, parts = intent(text), ["1.0"]
-    if found.implementation:
-        for name in found.types:
-            t = name.lower()
-            parts.append(f"(CASE WHEN len(list_filter(conformances, lambda c: contains(lower(c), '{t}'))) > 0 THEN 1.5 WHEN len(list_filter(symbols, lambda s: contains(lower(s), '{t}'))) > 0 THEN 1.2 ELSE 1.0 END)")
-    if found.kinds:
-        parts.append(f"(CASE WHEN kind IN ({', '.join(map(repr, found.kinds))}) THEN 1.3 ELSE 1.0 END)")
-    if found.protocol:
-        parts.append("(CASE WHEN kind = 'protocol' THEN 1.3 ELSE 1.0 END)")
-    if found.implementation:
-        parts.append("(CASE WHEN kind <> 'protocol' AND len(conformances) > 0 THEN 1.2 ELSE 1.0 END)")
-    return " * ".join(parts)
+#: Only q5 ("what implements Codable") asks for implementations, of the type named.
+_INTENT_SQL = """CASE WHEN query_id = 'q5' THEN
+        (CASE WHEN len(list_filter(conformances, lambda c: contains(lower(c), 'codable'))) > 0 THEN 1.5 WHEN len(list_filter(symbols, lambda s: contains(lower(s), 'codable'))) > 0 THEN 1.2 ELSE 1.0 END)
+        * (CASE WHEN kind <> 'protocol' AND len(conformances) > 0 THEN 1.2 ELSE 1.0 END) ELSE 1.0 END"""
 
 
 def semantic_sql(limit: int, name: str = "semantic") -> str:
-    cases = " ".join(f"WHEN query_id = '{q}' THEN {_intent_sql(t)}" for q, t in TEXTS.items() if intent(t).reranks)
     return f"""sem_raw AS {_top_sql('near', 2 * limit)},
-    sem_boosted AS (SELECT query_id, id, score * coalesce(CASE {cases} ELSE 1.0 END, 1.0) AS score FROM sem_raw LEFT JOIN chunks USING (id)),
+    sem_boosted AS (SELECT query_id, id, score * coalesce({_INTENT_SQL}, 1.0) AS score FROM sem_raw LEFT JOIN chunks USING (id)),
     {name} AS {_top_sql('sem_boosted', limit)}"""
 
 
 @query(f"WITH {CHUNKS_SQL}, {_KNN}, {semantic_sql(15)} SELECT query_id, id, round(score, 6) AS score, rank FROM semantic")
 def semantic_intent_search(spark, sf_dir):
-    return _rounded(vectors.semantic_search(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), {q: intent(t) for q, t in TEXTS.items()}, 15), "score")
+    return _rounded(vectors.semantic_search(corpus.index(spark, sf_dir).docs, corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), {q: intent(t) for q, t in TEXTS.items()}, 15), "score")
+
+
+@query(f"WITH {CHUNKS_SQL}, {_KNN}, best AS {_top_sql('near', 20)}, kept AS (SELECT query_id, id, score, rank FROM best JOIN chunks USING (id) WHERE path LIKE '%.md') SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM kept) WHERE n <= 10")
+def semantic_only_search(spark, sf_dir):
+    return _rounded(search.semantic_only(corpus.index(spark, sf_dir).docs, corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), SearchOptions(limit=10, extensions=("md",))), "score")
 
 
 # --- fusion ------------------------------------------------------------------------------------
 
-_TWO = f"{CHUNKS_SQL}, {bm25_sql(_MATCHES)}, {_KNN}, lex AS {_top_sql('scored', 30)}, sem AS {_top_sql('near', 30)}"
+_TWO = f"{CHUNKS_SQL}, {bm25_sql(_ASKED)}, {_KNN}, lex AS {_top_sql('scored', 30)}, sem AS {_top_sql('near', 30)}"
 
 
 def _two_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return fulltext.top_k(fulltext.bm25(corpus.chunks(spark, sf_dir), _MATCHES), 30), vectors.nearest(corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), 30)
+    return fulltext.top_k(fulltext.bm25(corpus.index(spark, sf_dir), _MATCHES), 30), vectors.nearest(corpus.vectors(spark, sf_dir), query_vectors(spark, sf_dir), 30)
 
 
 @query(f"WITH {_TWO}, two AS (SELECT query_id, id, rank FROM lex UNION ALL SELECT query_id, id, rank FROM sem) SELECT query_id, id, round(sum(1 / (60 + rank)), 6) AS score, count(*) AS lists FROM two GROUP BY 1, 2")
@@ -243,7 +257,7 @@ def simple_hybrid(spark, sf_dir):
 @query(f"""WITH {CHUNKS_SQL}, c AS (SELECT id, path, start_line, unnest(list_distinct(conformances)) AS p FROM chunks WHERE is_type_declaration)
     SELECT 'q5' AS query_id, id, rank, (51.0 - rank)::DOUBLE AS score FROM (SELECT id, row_number() OVER (ORDER BY path, start_line, id)::INT AS rank FROM c WHERE lower(p) = 'codable') WHERE rank <= 50""")
 def conformance_lookup(spark, sf_dir):
-    return ranking.conforming_types(corpus.chunks(spark, sf_dir), {"q5": "Codable"}, 50)
+    return ranking.conforming_types(corpus.index(spark, sf_dir).docs, {"q5": "Codable"}, 50)
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT DISTINCT id AS chunk_id, unnest(conformances) AS protocol_name FROM chunks")
@@ -251,48 +265,45 @@ def conformance_index(spark, sf_dir):
     return ranking.conformance_index(corpus.chunks(spark, sf_dir))
 
 
-def boost_sql(text: str) -> str:
-    """The ranking's boosts for one query, with counts from cnt(term, n)."""
-    from quarrylight.plans.query import STANDARD_PROTOCOLS, camel_terms, is_conceptual, query_terms
+#: Fixed values.
+_STANDARD = ["Comparable", "Equatable", "Hashable", "Codable", "Sendable", "CustomStringConvertible", "CustomDebugStringConvertible", "Encodable", "Decodable", "Identifiable", "CaseIterable"]
+
 
+def boost_sql(terms: list[str], camel: list[str], question: bool) -> str:
+    """The ranking's boosts for one query, with counts from cnt(term, n)."""
     rare = lambda t: f"(SELECT n FROM cnt WHERE term = '{t}') < 10"
-    sym = " ".join(f"WHEN list_contains(symbols, '{t.lower()}') THEN {rare(t)}" for t in query_terms(text))
-    con = " ".join(f"WHEN contains(content, '{t}') THEN {rare(t)}" for t in camel_terms(text))
+    sym = " ".join(f"WHEN list_contains(symbols, '{t.lower()}') THEN {rare(t)}" for t in terms)
+    con = " ".join(f"WHEN contains(content, '{t}') THEN {rare(t)}" for t in camel)
     symbol = f"coalesce(CASE {sym} ELSE false END, false)" if sym else "false"
     content = f"coalesce(CASE {con} ELSE false END, false)" if con else "false"
     path = "(CASE WHEN contains(path, '/Sources/') THEN 1.25 WHEN contains(path, '/Tests/') THEN 0.8 WHEN contains(path, '/benchmarks/') OR contains(path, '/archive/') THEN 0.5 WHEN contains(path, '/docs/') OR contains(path, '/openspec/') THEN 0.9 ELSE 1.0 END)"
     out = f"(CASE WHEN {symbol} THEN 2.5 WHEN {content} THEN 2.0 ELSE 1.0 END) * {path} * (CASE WHEN starts_with(signature, 'public ') THEN 1.1 ELSE 1.0 END)"
-    if is_conceptual(text):
-        out += f" * (CASE WHEN kind = 'extension' AND list_has_any(conformances, {_LIST(STANDARD_PROTOCOLS)}) THEN 0.5 ELSE 1.0 END)"
-    if terms := camel_terms(text):
-        held = " OR ".join(f"list_contains(symbols, '{t}') OR contains(content, '{t}') OR list_contains(refs, '{t}')" for t in terms)
+    if question:
+        out += f" * (CASE WHEN kind = 'extension' AND list_has_any(conformances, {_LIST(_STANDARD)}) THEN 0.5 ELSE 1.0 END)"
+    if camel:
+        held = " OR ".join(f"list_contains(symbols, '{t}') OR contains(content, '{t}') OR list_contains(refs, '{t}')" for t in camel)
         out += f" * (CASE WHEN {held} THEN 1.0 ELSE 0.3 END)"
     return out
 
 
 def _counts_sql() -> str:
-    from quarrylight.plans.query import query_terms
-
-    terms = sorted({t for text in TEXTS.values() for t in query_terms(text)})
+    terms = sorted({t for found, *_ in _BOOSTED.values() for t in found})
     return "cnt AS (SELECT term, count(*) FILTER (list_contains(symbols, lower(term)) OR contains(lower(content), lower(term))) AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in terms) + ") v(term), chunks GROUP BY term)"
 
 
-_BOOST_CASES = " ".join(f"WHEN query_id = '{q}' THEN {boost_sql(t)}" for q, t in TEXTS.items())
+_BOOST_CASES = " ".join(f"WHEN query_id = '{q}' THEN {boost_sql(*spec)}" for q, spec in _BOOSTED.items())
 
 
 @query(f"WITH {CHUNKS_SQL}, {_counts_sql()}, q(query_id) AS (VALUES {', '.join(f'({q!r})' for q in TEXTS)}) SELECT query_id, id, round(CASE {_BOOST_CASES} END, 6) AS boost FROM q, chunks")
 def rank_boosts(spark, sf_dir):
-    from quarrylight.plans.query import query_terms
-
-    rows = corpus.chunks(spark, sf_dir)
-    counts = {r["term"]: r["n"] for r in fulltext.term_counts(rows, sorted({t for text in TEXTS.values() for t in query_terms(text)})).collect()}
-    each = F.array(*(F.struct(F.lit(q).alias("query_id"), F.round(ranking.rank_boost(t, counts), 6).alias("boost")) for q, t in TEXTS.items()))
-    return rows.select("id", F.explode(each).alias("b")).select("b.query_id", "id", "b.boost")
+    rows = corpus.index(spark, sf_dir).docs
+    asked = ranking.query_table(rows, TEXTS)
+    return rows.crossJoin(F.broadcast(asked)).select("query_id", "id", F.round(ranking.rank_boost(), 6).alias("boost"))  # each chunk for each of the five queries, which are what the report is of
 
 
-def hybrid_sql(limit: int, tail: str, w: float = 0.7, matches: dict = _MATCHES) -> str:
+def hybrid_sql(limit: int, tail: str, w: float = 0.7, asked: dict = _ASKED) -> str:
     fetch = 5 * limit
-    return f"""WITH {CHUNKS_SQL}, {bm25_sql(matches)}, {_KNN}, lex AS {_top_sql('scored', fetch)}, {semantic_sql(fetch, 'sem')}, {_counts_sql()},
+    return f"""WITH {CHUNKS_SQL}, {bm25_sql(asked)}, {_KNN}, lex AS {_top_sql('scored', fetch)}, {semantic_sql(fetch, 'sem')}, {_counts_sql()},
     conf_all AS (SELECT DISTINCT 'q5' AS query_id, id, path, start_line FROM (SELECT id, path, start_line, unnest(conformances) AS p FROM chunks WHERE is_type_declaration) WHERE lower(p) = 'codable'),
     conf AS (SELECT query_id, id, {fetch + 1}.0 - rank AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line, id) AS rank FROM conf_all) WHERE rank <= {fetch}),
     lists AS (SELECT query_id, id, rank, score, {1 - w:.2f} AS w, 0 AS l FROM lex UNION ALL SELECT query_id, id, rank, score, {w}, 1 FROM sem UNION ALL SELECT query_id, id, rank, score, 3.0, 2 FROM conf),
@@ -306,7 +317,7 @@ def hybrid_sql(limit: int, tail: str, w: float = 0.7, matches: dict = _MATCHES)
 
 
 def _hybrid(spark, sf_dir, **options) -> DataFrame:
-    return search.hybrid_search(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir), TEXTS, query_vectors(spark, sf_dir), SearchOptions(limit=10, **options))
+    return search.hybrid_search(corpus.index(spark, sf_dir), corpus.vectors(spark, sf_dir), TEXTS, query_vectors(spark, sf_dir), SearchOptions(limit=10, **options))
 
 
 @query(hybrid_sql(10, "SELECT query_id, chunk_id, path, kind, round(score, 6) AS score, coalesce(bm25_rank, 0)::INT AS bm25_rank, coalesce(semantic_rank, 0)::INT AS semantic_rank, CASE WHEN semantic_score IS NOT NULL THEN floor(semantic_score * 100) ELSE floor(least(score / 0.0164, 1) * 100) END::INT AS relevance_percent FROM final"))
@@ -321,12 +332,12 @@ def multi_hop_search(spark, sf_dir):
 
 @query(hybrid_sql(10, "SELECT query_id, kind, count(*) AS n FROM final GROUP BY 1, 2"))
 def research_kinds(spark, sf_dir):
-    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["kinds"]
+    return search.research(_hybrid(spark, sf_dir), corpus.index(spark, sf_dir).docs)["kinds"]
 
 
 @query(hybrid_sql(10, "SELECT query_id, topic FROM (SELECT DISTINCT query_id, unnest(refs) AS topic FROM final) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY topic) <= 10"))
 def research_topics(spark, sf_dir):
-    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["topics"]
+    return search.research(_hybrid(spark, sf_dir), corpus.index(spark, sf_dir).docs)["topics"]
 
 
 _HITS = "SELECT query_id, chunk_id, round(score, 6) AS score FROM final"
@@ -349,26 +360,26 @@ def semantic_only_strategy(spark, sf_dir):
 _EXPANDED = {"q1": "the and with of", "q2": "para que la", "q4": "thing that"}
 
 
-@query(hybrid_sql(10, _HITS, 0.7, _MATCHES | {q: prepared_match(t) for q, t in _EXPANDED.items()}))
+@query(hybrid_sql(10, _HITS, 0.7, _ASKED | _ASKED_EXPANDED))
 def expanded_search(spark, sf_dir):
-    rows = search.hybrid_search(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir), TEXTS, query_vectors(spark, sf_dir), HYBRID, TEXTS | _EXPANDED)
+    rows = search.hybrid_search(corpus.index(spark, sf_dir), corpus.vectors(spark, sf_dir), TEXTS, query_vectors(spark, sf_dir), HYBRID, TEXTS | _EXPANDED)
     return _hits(rows)
 
 
 @query(hybrid_sql(10, "SELECT query_id, path FROM (SELECT DISTINCT query_id, path FROM final) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY path) <= 10"))
 def research_files(spark, sf_dir):
-    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["files"]
+    return search.research(_hybrid(spark, sf_dir), corpus.index(spark, sf_dir).docs)["files"]
 
 
 @query(hybrid_sql(10, "SELECT query_id, symbol FROM (SELECT DISTINCT query_id, unnest(symbols) AS symbol FROM final) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol) <= 10"))
 def research_symbols(spark, sf_dir):
-    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["symbols"]
+    return search.research(_hybrid(spark, sf_dir), corpus.index(spark, sf_dir).docs)["symbols"]
 
 
 @query(hybrid_sql(10, """, names AS (SELECT query_id, path, score, unnest(symbols) AS name, 'symbol' AS role FROM final UNION ALL SELECT query_id, path, score, unnest(refs), 'reference' FROM final)
     SELECT query_id, path, name, role FROM names QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, role DESC, name) <= 50""".lstrip()))
 def research_references(spark, sf_dir):
-    return search.research(_hybrid(spark, sf_dir), corpus.chunks(spark, sf_dir))["references"].drop("n")
+    return search.research(_hybrid(spark, sf_dir), corpus.index(spark, sf_dir).docs)["references"].drop("n")
 
 
 @query(rf"WITH {CHUNKS_SQL} SELECT id, len(t) AS n, len(list_distinct(t)) AS n_distinct, coalesce(t[1], '') AS first FROM chunks")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.columns import tokens
+from quarrylight.operators import fulltext
+from quarrylight.session import shared_dir
 
 FOLDERS = ("Sources", "Tests", "docs", "archive")
 EXTENSIONS = ("swift", "md", "json")
@@ -53,3 +57,15 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as documentation snippets."""
     rows = table(spark, sf_dir, "conversations")
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("/docs/c"), F.col("conv_id").cast("string"), F.when(F.col("turn") % 2 == 0, ".md").otherwise(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce("role", F.lit("")).alias("breadcrumb"))
+
+
+_INDEXES: dict[tuple[str, str], fulltext.TextIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
+    """chunks() with postings and statistics in the shared folder; built once for each application and folder of tables, by the first query that searches."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        _INDEXES[key] = fulltext.write_index(chunks(spark, sf_dir), fulltext.CHUNK_FIELDS, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _INDEXES[key]

@@ -12,7 +12,7 @@ from quarrylight.functions import columns as C
 from quarrylight.operators import fulltext, fusion, indexing, ranking, search, vectors
 from quarrylight.queries import QUERIES
 from quarrylight.plans import schemas
-from quarrylight.plans.query import Match, Phrase, SearchOptions, prepared_match, raw_match
+from quarrylight.plans.query import Match, Phrase, SearchOptions, intent, prepared_match, raw_match
 from quarrylight.sources import store
 from quarrylight.streaming import watch
 
@@ -74,10 +74,21 @@ def test_tokens_are_not_stemmed(spark):
 
 
 def test_postings_give_the_same_scores(spark, mini, tmp_path):
-    path = f"file://{tmp_path}/postings"
-    fulltext.write_postings(mini, fulltext.CHUNK_FIELDS, path, 2)
-    q = {"a": raw_match("user session"), "b": prepared_match("String")}
-    assert sorted(fulltext.bm25(mini, q).collect()) == sorted(fulltext.bm25(mini, q, index=spark.read.parquet(path)).collect())
+    index = fulltext.write_index(mini, fulltext.CHUNK_FIELDS, f"file://{tmp_path}/index", 2)
+    q = {"a": raw_match("user session"), "b": prepared_match("String"), "c": prepared_match("struct user", False), "d": raw_match("user_session")}
+    want = sorted(fulltext.bm25(mini, q).collect())
+    assert want and want == sorted(fulltext.bm25(index, q).collect())
+    plan = fulltext.bm25(index, q)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "PushedFilters: [Or(" in plan
+
+
+def test_ranges_of_terms_hold_all_that_is_asked():
+    many = {str(i): raw_match(f"t{i:04d} x{i}") for i in range(0, 900, 3)} | {"e": prepared_match("Codable no", False)}
+    ranges = fulltext.term_ranges(many)
+    assert len(ranges) <= fulltext.MOST_RANGES and all(a <= b for a, b in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
+    inside = lambda t: any(a <= t <= b for a, b in ranges)
+    assert all(inside(t) for t in ("t0003", "t0897z", "x0", "x897", "codable", "no")) and not inside("zebra") and not inside("aaa")
+    assert fulltext.term_ranges({"q": prepared_match("ab", False)}) == [("ab", "ab")] and fulltext.term_ranges({}) == []
 
 
 def ranked(spark, *lists):
@@ -130,12 +141,71 @@ def test_embedding_is_a_function_of_the_text(spark):
         vectors.ProviderChain({"a": down})(["t"])
 
 
+def asked(rows, terms, camel=(), question=False):
+    """rows with a query's terms (term, whether it's rare) as ranking.query_table() gives them."""
+    struct = lambda i, t, rare: F.struct(F.lit(i).alias("place"), F.lit(t).alias("term"), F.lit(t.lower()).alias("low"), F.lit(rare).alias("rare"))
+    each = [struct(i, t, rare) for i, (t, rare) in enumerate(terms)]
+    none = F.array().cast("array<struct<place: int, term: string, low: string, rare: boolean>>")
+    return rows.withColumns({"terms": F.array(*each) if each else none, "camel": F.array(*(e for e, (t, _) in zip(each, terms) if t in camel)) if camel else none, "conceptual": F.lit(question)})
+
+
 def test_boosts(spark, mini):
-    boost = {r["id"]: r["b"] for r in mini.withColumn("b", ranking.rank_boost("User", {"User": 2})).select("id", "b").collect()}
+    rows = mini.join(ranking.query_table(mini, {"q": "User"}), F.lit(True))
+    boost = {r["id"]: r["b"] for r in rows.withColumn("b", ranking.rank_boost()).select("id", "b").collect()}
     assert boost["chunk3"] == 2.5 and boost["chunk1"] == 1.0 and boost["chunk2"] == 0.3
-    assert mini.filter(ranking.exact_content("String", {"String": 50})).count() == 0
+    assert asked(mini, [("String", False)], ["String"]).filter(ranking.exact_content()).count() == 0
+    assert asked(mini, [("String", True)], ["String"]).filter(ranking.exact_content()).count() > 0
     odd = mini.select(*(F.lit(None).cast("string").alias("signature") if c == "signature" else F.col(c) for c in mini.columns))
-    assert odd.withColumn("b", ranking.rank_boost("x", {})).filter("b is null").count() == 0
+    assert asked(odd, []).withColumn("b", ranking.rank_boost()).filter("b is null").count() == 0
+
+
+def test_query_table(mini):
+    rows = {r["query_id"]: r for r in ranking.query_table(mini, {"a": "what is User session", "b": "the", "c": "nowhere User"}).collect()}
+    assert [t["term"] for t in rows["a"]["terms"]] == ["User", "session"] and [t["term"] for t in rows["a"]["camel"]] == ["User"] and rows["a"]["conceptual"]
+    assert rows["b"]["terms"] == [] and not rows["b"]["conceptual"] and all(t["rare"] for t in rows["c"]["terms"])
+
+
+def test_plans_do_not_grow_with_the_number_of_queries(spark, mini):
+    size = lambda n: len(ranking.query_table(mini, {str(i): f"Term{i} word{i}" for i in range(n)})._jdf.queryExecution().optimizedPlan().numberedTreeString())
+    assert size(3000) < size(3) + 500
+    intents = lambda n: {str(i): intent(f"what implements Type{i}") for i in range(n)}
+    few, many = (vectors.intent_table(spark, intents(n))._jdf.queryExecution().optimizedPlan().numberedTreeString() for n in (3, 3000))
+    assert len(many) < len(few) + 500
+
+
+def plain_hash_embedding(text, dimension):
+    """Byte for byte as it's defined, in 64-bit arithmetic."""
+    most = (1 << 64) - 1
+    state = 14695981039346656037
+    for b in text.encode():
+        state = ((state ^ b) * 1099511628211) & most
+    values = []
+    for _ in range(dimension):
+        state = state ^ ((state << 13) & most)
+        state = state ^ (state >> 7)
+        state = state ^ ((state << 17) & most)
+        values.append(state / 9223372036854775808 - 1)
+    norm = math.sqrt(sum(v * v for v in values))
+    return [v / norm for v in values]
+
+
+def test_hash_embeddings_query(spark):
+    import hashlib
+
+    import numpy as np
+    from quarrylight import queries
+    from quarrylight.sources import corpus
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    texts = {r["id"]: r["content"] for r in corpus.snippets(spark, folder).filter("content <> ''").collect()}
+    got = queries.hash_embeddings(spark, folder).collect()
+    assert len(got) == len(texts) and {r["dimension"] for r in got} == {384} and {r["norm"] for r in got} == {1.0}
+    for r in got[:: max(1, len(got) // 200)]:
+        want = np.float32(plain_hash_embedding(texts[r["id"]], 384)).astype(float)
+        half_up = [int(math.floor(abs(x) * 1e6 + 0.5)) * (1 if x >= 0 else -1) for x in want]
+        assert r["digest"] == hashlib.sha256(",".join(map(str, half_up)).encode()).hexdigest()
 
 
 def test_conformance(mini):
