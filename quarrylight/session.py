@@ -42,10 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a path deleted when the driver ends, for tables that lazy results still read."""
+    system, place = file_system(spark, path)
+    system.deleteOnExit(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, for tables that several plans read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.columns import tokens
 from quarrylight.operators import fulltext
-from quarrylight.session import shared_dir
+from quarrylight.session import shared_dir, until_exit
 
 FOLDERS = ("Sources", "Tests", "docs", "archive")
 EXTENSIONS = ("swift", "md", "json")
@@ -68,4 +68,5 @@ def index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
     if key not in _INDEXES:
         path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
         _INDEXES[key] = fulltext.write_index(chunks(spark, sf_dir), fulltext.CHUNK_FIELDS, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        until_exit(spark, path)
     return _INDEXES[key]
