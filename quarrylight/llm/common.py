@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.session import ship
+from quarrylight.session import file_system, shared_dir, ship, until_exit
 
 #: Rows and bytes of an Arrow batch, whichever is reached first. A row that alone has more bytes is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
@@ -25,39 +24,41 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACES = b"\t\n\x0b\x0c\r "
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing is ever written to it twice."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors. What isn't discarded before goes when the driver ends."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(df.sparkSession, path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._quarrylight_path = path
+    _WRITTEN[id(table)] = (table, path)
     return table
 
 
+#: Materialised tables that weren't discarded, with their paths; in the order of writing.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def written() -> int:
+    """How many tables there are, for sweep()."""
+    return len(_WRITTEN)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Discard the tables that were written since written() gave this number, but those to keep: for a job whose steps are all done."""
+    kept = set(map(id, keep))
+    discard(*(table for table, _ in list(_WRITTEN.values())[since:] if id(table) not in kept))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no plan will read again."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._quarrylight_path)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, place = file_system(table.sparkSession, _WRITTEN.pop(id(table))[1])
+        system.delete(place, True)
 
 
 def prepare(spark: SparkSession) -> None:

@@ -1,7 +1,8 @@
 """Language proportions of each document by expectation-maximisation over its words.
 
-The model of a language is the counts of byte trigrams within words, marked at both ends, of
-the learning documents: log p(c | a b) by additive smoothing. It has 2**16 hashed trigrams and
+The model of a language is the counts of byte trigrams of the learning documents, where all but
+letters are spaces: log p(c | a b) by additive smoothing, over the bytes of words and the space after
+each. It has 2**16 hashed trigrams and
 2**16 contexts for each language, whatever the corpus, added up on the executors.
 
 A document is a mixture: each word comes from one language. EM finds the proportions. Then the
@@ -177,7 +178,9 @@ def language_ids(docs: DataFrame, fold: int = 4, left_out: int = 2) -> DataFrame
     """doc_id, held_out, lang_pred, score, languages (the selected set) of each row.
 
     Learns from text and lang of the rows whose lang isn't null and whose crc32(doc_id as text) mod fold isn't left_out; all of them are used.
-    A text that is null or has no letter is `und` with score 0, as are all texts if there is nothing to learn from. A null doc_id is not held out, and teaches nothing."""
+    A text that is null or has no letter is `und` with score 0, as are all texts if there is nothing to learn from. A null doc_id is not held out, and teaches nothing.
+    Rows that repeat are predicted each, and teach each. An empty table gives no rows. Columns other than doc_id, text and lang are not read.
+    2**17 counts for each distinct lang come to the driver."""
     prepare(docs.sparkSession)
     part = F.crc32(F.col("doc_id").cast("string")) % fold
     model = Mixture(count_trigrams(docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (part != left_out))).toArrow())

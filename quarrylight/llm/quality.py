@@ -80,6 +80,7 @@ def _block(data: bytes, offsets: np.ndarray) -> np.ndarray:
     add = lambda x: np.bincount(text, x, minlength=n) if len(text) else np.zeros(n)
     pair = np.zeros(len(hashes), np.uint64)
     pair[1:] = hashes[1:] * np.uint64(3) + hashes[:-1]
+    pair[first[:-1][words > 0]] = 0  # a text's first word has none before it
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     edges = np.unique(np.concatenate([offsets, breaks + 1]))
     line_from, line_to = edges[:-1], edges[1:]
@@ -196,7 +197,8 @@ def feature_table(docs: DataFrame, *columns: str) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted of each row; null and empty texts are scored by their statistics too.
 
-    A doc_id with both labels teaches nothing; a null doc_id is not held out."""
+    A doc_id with both labels teaches nothing; a null doc_id is not held out. Rows that repeat are scored each, and teach each.
+    Without labels all scores are 0.5. An empty table gives no rows. Other columns of docs and labels are not read."""
     prepare(docs.sparkSession)
     table = materialise(feature_table(docs, "doc_id"), "quality-features")
     model = learn(table, labels.select("doc_id", "quality"), fold, left_out)
@@ -211,14 +213,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1) -> DataFrame:
-    """The documents that aren't predicted 0, all columns of documents kept."""
+    """The documents that aren't predicted 0, all columns of documents kept. Statistics are computed once and kept beside the text; the labels' other columns are not read.
+
+    Null and empty texts are judged by their statistics; rows that repeat, or have no doc_id, each for itself. Without labels, or with those of one class only, the model
+    is as good as the prior: all rows stay, or all are of that class."""
     prepare(docs.sparkSession)
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    model = learn(materialise(feature_table(docs, "doc_id"), "quality-features"), labels.select("doc_id", "quality"), fold, left_out)
+    table = materialise(feature_table(docs, *columns), "quality-features")
+    model = learn(table.select("doc_id", "x"), labels.select("doc_id", "quality"), fold, left_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(features(*text_buffer(batch.column("text")))) >= 0.5))
+            score = model.score(np.asarray(batch.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)))
+            yield batch.select(columns).filter(pa.array(score >= 0.5))
 
-    table = docs.select(*columns)
-    return table.mapInArrow(run, table.schema)
+    return table.mapInArrow(run, table.drop("x").schema)
