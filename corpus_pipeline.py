@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: five stages, each over all that the one before it kept.
 
-Stages but the last return the columns of documents. Each stage's table is written to the shared
-folder and read again, so a lost executor costs no more than its own stage.
+Stages but the last return the columns of documents; other columns of the table are left out. Each
+stage's table is written to the shared folder and read again, so a lost executor costs no more than
+its own stage; what a stage needed is deleted when its table is written. Every stage takes null and
+empty texts, repeated rows, rows without a doc_id, texts of any length and empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import tokens
-from quarrylight.llm.common import materialise, release
+from quarrylight.llm.common import discard, materialise, release, sweep, written
 from quarrylight.llm.exact_dedup import exact_dedup
 from quarrylight.llm.jaccard_join import jaccard_classes
 from quarrylight.llm.packing import pack
@@ -22,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant predicts 0 go."""
+    """Documents that the discriminant predicts 0 go. Null and empty texts are judged by their statistics like others; each of equal rows is judged, alike."""
     return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -39,19 +41,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over 5-word shingles, directly or through others, the one with the smallest doc_id stays. Rows without a doc_id stay."""
+    """Of documents linked by a similarity of 0.8 over 5-word shingles, directly or through others, the one with the smallest doc_id stays. Rows without a doc_id stay, and connect others. Null texts and texts without words link with nothing."""
     classes = materialise(jaccard_classes(docs, n=5, num=80, den=100), "pipeline-classes")
     gone = classes.filter("doc_id <> component_id").select("doc_id").join(classes.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_anti").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes or more that stand earlier in the corpus go from the texts."""
+    """Strings of 100 bytes or more that stand earlier in the corpus go from the texts; texts of which only white space is left go. Null texts stay null; equal rows are one document and stay alike."""
     return without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens, with their places in sequences."""
+    """Pieces of at most 1024 tokens, with their places in sequences. Null and empty texts are a piece of the end id alone; each row is packed, also one that repeats or has no doc_id."""
     path = tokenizer_path("byte_bpe_50k.json")
     return pack(docs, lambda: tokens.byte_bpe(path), END_ID, capacity=1024)
 
@@ -69,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
+        since = written()
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        sweep(since, docs)
+        discard(*before)
+        before = [docs]
         release(spark)
     return docs
