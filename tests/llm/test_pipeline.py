@@ -72,3 +72,35 @@ def test_repeated_rows_and_rows_without_id(spark, tmp_path):
     got = corpus_pipeline.exact_copies(spark, docs, folder).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "A b"), ("1", "other"), ("None", "None"), ("None", "x y")]
     assert len(corpus_pipeline.near_copies(spark, docs, folder).collect()) >= 3
+
+
+def test_no_documents(spark, tmp_path):
+    folder = f"{tmp_path}/none"
+    documents(spark, []).select(*corpus_pipeline.COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_odd_rows_and_very_long_texts(spark, tmp_path):
+    """Rows of more bytes than an Arrow batch holds, with repeated rows, rows without id and clashing columns, go through all stages; only the last table is left."""
+    import os
+
+    from quarrylight.llm import common
+
+    long = [" ".join(f"w{i * 7919 % 1000003}x{k}" for i in range(600_000)) for k in (1, 2)]
+    assert len(long[0]) > 4 << 20
+    rows = [*enumerate(texts(4, 20)), (100, long[0]), (101, long[0]), (102, long[1] + " tail"), (102, long[1] + " tail"), (None, "no id here"), (None, None), (7, "")]
+    folder = f"{tmp_path}/odd"
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0, "x") for i in range(50)], "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    shared = common.shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(shared))
+    was = common.BATCH_BYTES
+    common.BATCH_BYTES = 1 << 20
+    try:
+        got = corpus_pipeline.run(spark, folder)
+        ids = {r["doc_id"] for r in got.collect()}
+    finally:
+        common.BATCH_BYTES = was
+    assert {101, 102} <= ids and 100 not in ids and None in ids
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - there} == {"stage-best-fit-packing"}
