@@ -223,10 +223,11 @@ def _joined(claims: DataFrame) -> DataFrame:
 
 
 def _proved(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """(gram, doc, sub, start, stop) of the claims whose bytes are equal in both texts. Bytes travel to the first text, once for each claim."""
-    part = lambda at: F.expr(f"substring(cast(text as binary), cast({at} + 1 as int), cast(stop - start as int))")
-    named = claims.join(docs.select("doc", "sub", "text"), ["doc", "sub"]).withColumn("bytes", part("start")).drop("text")
-    firsts = docs.select(F.col("doc").alias("first_doc"), F.col("sub").alias("first_sub"), "text")
+    """(gram, doc, sub, start, stop) of the claims whose bytes are equal in both texts. Bytes travel to the first text, once for each claim; the texts are shuffled once for both joins."""
+    part = lambda at: F.expr(f"substring(data, cast({at} + 1 as int), cast(stop - start as int))")
+    texts = docs.select("doc", "sub", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    named = claims.join(texts, ["doc", "sub"]).withColumn("bytes", part("start")).drop("data")
+    firsts = texts.select(F.col("doc").alias("first_doc"), F.col("sub").alias("first_sub"), "data")
     both = named.join(firsts, ["first_doc", "first_sub"]).filter(F.col("bytes") == part("start + shift"))
     return both.select(F.lit(0).cast("long").alias("gram"), "doc", "sub", "start", "stop")
 
