@@ -213,18 +213,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1) -> DataFrame:
-    """The documents that aren't predicted 0, all columns of documents kept. Statistics are computed once and kept beside the text; the labels' other columns are not read.
+    """The documents that aren't predicted 0, all columns of documents kept. Statistics are computed once and kept without the text; rows are told apart by doc_id and a hash of the text.
 
     Null and empty texts are judged by their statistics; rows that repeat, or have no doc_id, each for itself. Without labels, or with those of one class only, the model
-    is as good as the prior: all rows stay, or all are of that class."""
+    is as good as the prior: all rows stay, or all are of that class. The labels' other columns are not read."""
     prepare(docs.sparkSession)
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    table = materialise(feature_table(docs, *columns), "quality-features")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("hash", F.xxhash64("text"))
+    table = materialise(feature_table(rows, "doc_id", "hash"), "quality-features")
     model = learn(table.select("doc_id", "x"), labels.select("doc_id", "quality"), fold, left_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(np.asarray(batch.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)))
-            yield batch.select(columns).filter(pa.array(score >= 0.5))
+            yield batch.select(["doc_id", "hash"]).filter(pa.array(score < 0.5))
 
-    return table.mapInArrow(run, table.drop("x").schema)
+    bad = table.mapInArrow(run, table.drop("x").schema).select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").drop("hash")
