@@ -1,11 +1,16 @@
-"""Parsers of language-model answers, and renderers. Plain Python; the model is a callable."""
+"""Operators that ask a language model, parsers of its answers, and renderers. The model is a callable."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass
 class Expansion:
@@ -51,54 +56,79 @@ class Synthesis:
     confidence: float = 0.7
 
 
-def _bullet(line: str) -> str | None:
-    return line[1:].strip() if line[:1] in ("-", "•") else None
+_HEADING = re.compile(r"^[ \t]*(SUMMARY|INSIGHTS|REFERENCES):", re.IGNORECASE | re.MULTILINE)
+_CONFIDENCE = re.compile(r"^[ \t]*CONFIDENCE:(.*)$", re.IGNORECASE | re.MULTILINE)
+_NUMBER = re.compile(r"\s*(\d+(?:\.\d+)?)\s*%?\s*")
+_BULLETS = "-•"
+
+
+def _lines(text: str) -> list[str]:
+    return [line for line in map(str.strip, text.split("\n")) if line]
 
 
 def parse_reference(line: str) -> tuple[str, int | None, str | None] | None:
     """`path:line - description`, with or without a bullet."""
-    place, *rest = (_bullet(line) if _bullet(line) is not None else line).split(" - ")
-    path, *number = place.split(":")
-    if not path:
-        return None
-    try:
-        at = int(number[0]) if number else None
-    except ValueError:
-        at = None
-    return path, at, rest[0] if rest else None
+    place, dash, rest = line.removeprefix("-").removeprefix("•").strip().partition(" - ")
+    path, _, number = place.partition(":")
+    number = number.partition(":")[0]
+    return (path, int(number) if number.isdecimal() else None, rest.partition(" - ")[0] if dash else None) if path else None
 
 
 def parse_synthesis(answer: str) -> Synthesis:
-    """SUMMARY:, INSIGHTS:, REFERENCES: and CONFIDENCE: sections; without a summary the whole answer is one."""
-    out, section = Synthesis(), ""
-    for line in map(str.strip, answer.splitlines()):
-        head = line.upper()
-        if head.startswith("SUMMARY:"):
-            section, out.summary = "summary", line[8:].strip() or out.summary
-        elif head.startswith("INSIGHTS:"):
-            section = "insights"
-        elif head.startswith("REFERENCES:"):
-            section = "references"
-        elif head.startswith("CONFIDENCE:"):
+    """SUMMARY:, INSIGHTS:, REFERENCES: and CONFIDENCE: sections, in any order. Without a summary it's the first line before all sections, without that the whole answer.
+
+    A confidence is one line; others that stand where it is none belong to the section around it."""
+    parts = _HEADING.split(_CONFIDENCE.sub("", answer))
+    found: dict[str, list[str]] = {"SUMMARY": [], "INSIGHTS": [], "REFERENCES": []}
+    for name, body in zip(parts[1::2], parts[2::2], strict=True):
+        found[name.upper()].append(body)
+    summary = next((" ".join(_lines(body)) for body in reversed(found["SUMMARY"]) if body.strip()), None)
+    numbers = [float(m[1]) / 100 for m in map(_NUMBER.fullmatch, _CONFIDENCE.findall(answer)) if m]
+    return Synthesis(
+        summary or next(iter(_lines(parts[0])), "") or answer.strip(),
+        [text for line in _lines("\n".join(found["INSIGHTS"])) if line[0] in _BULLETS and (text := line[1:].strip())],
+        [ref for line in _lines("\n".join(found["REFERENCES"])) if (ref := parse_reference(line))],
+        min(numbers[-1], 1.0) if numbers else 0.7,
+    )
+
+
+#: Fixed value: what a follow-up line must not be shorter than.
+_SHORTEST_FOLLOW_UP = 4
+
+
+def synthesize(query: str, results: list[dict], model: Callable[[str], str]) -> Synthesis:
+    """The model's summary of search results; if it fails, how many results there are and where."""
+    listed = "\n".join(f"- {r.get('path')}:{r.get('start_line')} {(r.get('content') or '')[:400]}" for r in results)
+    try:
+        return parse_synthesis(model(f"Summarise what these search results say about: {query}\n{listed}\nAnswer with\nSUMMARY: ...\nINSIGHTS:\n- ...\nREFERENCES:\n- path:line - why\nCONFIDENCE: percent"))
+    except Exception:  # noqa: BLE001  search goes on without it
+        return Synthesis(f"{len(results)} results for {query}", [], [(str(r.get("path")), r.get("start_line"), None) for r in results], 0.0)
+
+
+def follow_ups(query: str, summary: str, model: Callable[[str], str], most: int = 5) -> list[str]:
+    """Further queries that the model proposes, one a line, without numbers and bullets, none twice; none if it fails."""
+    try:
+        lines = _lines(model(f"Propose up to {most} further search queries, one a line.\nQuery: {query}\nFound: {summary}"))
+    except Exception:  # noqa: BLE001  search goes on without it
+        return []
+    texts = (re.sub(r"^(?:[-•*]|\d+[.)])\s*", "", line).strip("\"' ") for line in lines)
+    return list(dict.fromkeys(t for t in texts if len(t) >= _SHORTEST_FOLLOW_UP and t != query))[:most]
+
+
+def describe(chunks: DataFrame, model: Callable[[list[str]], list[str | None]], most: int = 2000) -> DataFrame:
+    """chunks with generated_description: the model's descriptions of their contents (cut to `most` characters for it), cleaned; null where it fails or says nothing. The model sees one batch at a time."""
+    from quarrylight.functions.columns import clean_description
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
             try:
-                out.confidence = float(line[11:].strip().replace("%", "")) / 100
-            except ValueError:
-                pass
-        elif not line:
-            continue
-        elif section == "insights":
-            if found := _bullet(line):
-                out.insights.append(found)
-        elif section == "references":
-            if found := parse_reference(line):
-                out.references.append(found)
-        elif section == "summary":
-            out.summary = f"{out.summary} {line}".strip()
-        elif not out.summary:
-            out.summary = line
-    out.summary = out.summary or answer.strip()
-    out.confidence = min(max(out.confidence, 0.0), 1.0)
-    return out
+                yield pd.Series(model([(t or "")[:most] for t in batch]), dtype=object)
+            except Exception:  # noqa: BLE001  a batch that fails has no descriptions
+                yield pd.Series([None] * len(batch), dtype=object)
+
+    said = chunks.withColumn("generated_description", run("content"))
+    return said.withColumn("generated_description", F.when(F.trim("generated_description") != "", clean_description(F.col("generated_description"))))
 
 
 def expand(query: str, model: Callable[[str], str]) -> Expansion:

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.columns import extension
+from quarrylight.functions.columns import extension, identifier
 
 # Patterns of the languages, with the kind of chunk that a match gives.
 _M = re.MULTILINE
@@ -62,19 +64,16 @@ def plain_text(path: str, content: str, most: int = 2000, strict_reference: bool
         return []
     if len(content) <= most:
         return [chunk(path, content, 1, content.count("\n") + 1, "document")]
-    out, held, size, first, line = [], [], 0, 1, 1
     lines = content.split("\n")
-    for i, text in enumerate(lines):
-        piece = text if i == len(lines) - 1 else text + "\n"
-        if held and size + len(piece) > most:
-            body = "".join(held)
-            out.append(chunk(path, body, first - (strict_reference and first > 1), line - 1, "document"))
-            held, size, first = [], 0, line
-        held.append(piece)
-        size += len(piece)
-        line += 1
-    if "".join(held).strip():
-        out.append(chunk(path, "".join(held), first - (strict_reference and first > 1), line - 1, "document"))
+    ends = list(accumulate((len(line) + 1 for line in lines), initial=0))  # where each line begins in the text, and the end
+    ends[-1] -= 1  # nothing breaks the last one
+    out, first = [], 0
+    while first < len(lines):
+        last = max(first + 1, bisect_right(ends, ends[first] + most) - 1)
+        body = content[ends[first] : ends[last]]
+        if last < len(lines) or body.strip():
+            out.append(chunk(path, body, first + (not strict_reference or not first), last, "document"))
+        first = last
     return out
 
 
@@ -201,6 +200,20 @@ def parse_files(files: DataFrame, strict_reference: bool = False) -> DataFrame:
     return files.filter(~extension(F.col("path")).isin("md", "markdown", "json", "yaml", "yml")).select("path", "content").mapInPandas(run, CHUNK)
 
 
+def parse_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, snippets) of (path, content), whatever the extension. A markdown section is a chunk and a snippet that names the chunk; a markdown file without headings is one document."""
+    none = lambda t: F.lit(None).cast(t)
+    empty = F.array().cast("array<string>")
+    more = {"references": empty, "doc_comment": none("string"), "signature": none("string"), "conformances": empty, "is_type_declaration": F.lit(False), "error": none("string")}
+    keyed = key_documents(files).withColumns({"id": identifier(F.col("path"), F.lit(1), F.col("kind")), "start_line": F.lit(1), "end_line": F.size(F.split("content", "\n", -1)), "breadcrumb": none("string")} | more)
+    marked = markdown_sections(files.filter(extension(F.col("path")).isin("md", "markdown")))
+    kind = F.when(F.col("title").isNull(), "document").otherwise("markdownSection")
+    sections = marked.withColumns({"kind": kind, "id": identifier(F.col("path"), F.col("start_line"), kind, F.left("content", F.lit(100))), "symbols": F.when(F.col("title").isNull(), empty).otherwise(F.array("title"))} | more)
+    chunks = parse_files(files).unionByName(keyed.select(*_COLUMNS)).unionByName(sections.select(*_COLUMNS))
+    snippets = sections.select(identifier(F.lit("snippet"), F.col("id")).alias("id"), "path", "content", "start_line", "end_line", "breadcrumb", F.col("id").alias("chunk_id"), F.when(F.col("kind") == "document", "documentation").otherwise(F.col("kind")).alias("kind"))
+    return chunks, snippets
+
+
 def key_documents(files: DataFrame) -> DataFrame:
     """(path, kind, content, symbols): JSON and YAML files as one chunk, with their first 20 keys."""
     ext = extension(F.col("path"))

@@ -117,6 +117,13 @@ def overlaid_search(local: DataFrame, remote: DataFrame) -> DataFrame:
     return fusion.overlay(ranked(local), ranked(remote))
 
 
+def federated_search(local: tuple[DataFrame | TextIndex, DataFrame], remote: tuple[DataFrame | TextIndex, DataFrame] | None, queries: dict[str, str], query_vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """hybrid_search() over a local and, if there is one, a remote index (chunks, vectors), as overlaid_search() merges them, the `limit` best of each query. (query_id, id, path, score, origin, place)"""
+    mine = hybrid_search(*local, queries, query_vectors, options)
+    theirs = hybrid_search(*remote, queries, query_vectors, options) if remote else mine.limit(0)
+    return overlaid_search(mine, theirs).filter(F.col("place") <= options.limit)
+
+
 def research(results: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
     """Summaries of search results (query_id, chunk_id, path, kind, score): kinds by number, files, symbols, related topics and the reference list."""
     rows = results.join(chunks.select(F.col("id").alias("chunk_id"), "symbols", "references"), "chunk_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -561,6 +562,29 @@ def markdown_sections(spark, sf_dir):
     return chunkers.markdown_sections(files).withColumn("content", F.sha2("content", 256))
 
 
+@query(f"""WITH {_MD}, n AS (SELECT split_part(path, '.', 1)::BIGINT AS id, 1 + len(list_filter(string_split(content, chr(10))[2:], lambda l: starts_with(l, '#'))) AS sections FROM f),
+    c AS (SELECT * FROM n WHERE id % 4 = 0 AND id % 5 <> 0)
+    SELECT count(*) AS files, (SELECT count(*) FROM n WHERE id % 5 = 0) AS removed, (sum(sections) + count(*))::BIGINT AS chunks, sum(sections)::BIGINT AS reused, count(*) AS embedded, 0::BIGINT AS errors,
+        ((SELECT sum(sections) FROM n WHERE id % 5 <> 0) + count(*))::BIGINT AS stored_chunks, ((SELECT sum(sections) FROM n WHERE id % 5 <> 0) + count(*))::BIGINT AS stored_vectors FROM c""")
+def index_life_cycle(spark, sf_dir):
+    """Index all documents as markdown files, then the state after every fifth was removed and every fourth of the others got one section more."""
+    from quarrylight.session import shared_dir, until_exit
+    from quarrylight.sources.store import Store
+
+    n = F.col("doc_id")
+    head = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## end\ndone"))
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(n.cast("string"), F.lit(".md")).alias("path"), head.alias("content"))
+    hashed = lambda d: d.select("path", "content", F.sha2("content", 256).alias("hash"))
+    edited = rows.filter(n % 5 != 0).withColumn("content", F.when(n % 4 == 0, F.concat("content", F.lit("\n## more\nx"))).otherwise(F.col("content")))
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    until_exit(spark, root)
+    store = Store(spark, root)
+    store.index_files(hashed(rows), dimension=16)
+    counts = store.index_files(hashed(edited), dimension=16)
+    chunks, vectors_ = store.read("chunks"), store.read("vectors")
+    return counts.crossJoin(chunks.agg(F.count("*").alias("stored_chunks"))).crossJoin(vectors_.join(chunks.select("id"), "id", "left_semi").agg(F.count("*").alias("stored_vectors")))  # one row each
+
+
 @query(r"""SELECT event_id::VARCHAR || '.json' AS path, array_to_string(regexp_extract_all(props, '(?m)^\s*"(\w+)"\s*:', 1)[1:20], ',') AS symbols FROM (SELECT event_id, replace(props, '{', '{' || chr(10)) AS props FROM events)""")
 def json_keys(spark, sf_dir):
     files = corpus.table(spark, sf_dir, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.replace("props", F.lit("{"), F.lit("{\n")).alias("content"))

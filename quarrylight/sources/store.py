@@ -5,55 +5,83 @@ from __future__ import annotations
 import os
 import tomllib
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.functions import chunkers
+from quarrylight.functions.columns import SNIPPET_LANGUAGES, language, token_estimate
 from quarrylight.operators import indexing
 from quarrylight.operators.indexing import ReadOnlyError
+from quarrylight.operators.vectors import embed
 from quarrylight.plans import schemas
+from quarrylight.session import file_system, stored
 
 TABLES = {"chunks": schemas.CHUNKS, "info_snippets": schemas.SNIPPETS, "vectors": schemas.VECTORS, "file_hashes": schemas.FILE_HASHES}
 _KEY = {"chunks": "id", "info_snippets": "id", "vectors": "id", "file_hashes": "path"}
 
 
+class ConflictError(RuntimeError):
+    """Another writer was first."""
+
+
 class Store:
     """Tables under one folder of any file system that Spark writes to.
 
-    A change writes a new version and then moves a pointer table, so readers see the old version or the new one."""
+    A change writes a new version and then a pointer to it, so readers see the old version or the new one."""
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False) -> None:
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def versions(self, table: str) -> list[int]:
+        system, place = file_system(self.spark, f"{self.root}/{table}/_versions")
+        return sorted(int(s.getPath().getName()) for s in system.listStatus(place) if s.getPath().getName().isdigit()) if system.exists(place) else []
+
+    def _folder(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/{self.spark.read.text(f'{self.root}/{table}/_versions/{version:012d}').first()[0]}"
 
     def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/_versions")
-        if not fs.exists(p):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().isdigit())
-        if not names:
-            return None
-        return f"{self.root}/{table}/{self.spark.read.text(f'{self.root}/{table}/_versions/{names[-1]}').first()[0]}"
+        have = self.versions(table)
+        return self._folder(table, have[-1]) if have else None
 
     def read(self, table: str) -> DataFrame:
         path = self._current(table)
         return self.spark.createDataFrame([], TABLES[table]) if path is None else self.spark.read.schema(TABLES[table]).parquet(path)
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Write a version and make it the current one."""
+    def _point(self, table: str, name: str, version: int) -> None:
+        """Make a data folder the version asked for; of two writers that take one number the later fails."""
+        system, place = file_system(self.spark, f"{self.root}/{table}/_versions/{version:012d}")
+        try:
+            out = system.create(place, False)
+        except Py4JJavaError as e:
+            raise ConflictError(f"{table} has a version {version} already") from e
+        out.writeBytes(name + "\n")
+        out.close()
+
+    def _writable(self, table: str) -> None:
         if self.read_only:
             raise ReadOnlyError(table)
-        name = f"data-{uuid.uuid4().hex}"
-        wanted = TABLES[table]
+
+    def replace(self, table: str, rows: DataFrame, after: int | None = None) -> None:
+        """Write a version and make it the current one. after: the version that rows were made from; if another came since, the write fails."""
+        self._writable(table)
+        after = max(self.versions(table), default=0) if after is None else after
+        name, wanted = f"data-{uuid.uuid4().hex}", TABLES[table]
         rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).write.option("compression", "zstd").parquet(f"{self.root}/{table}/{name}")
-        fs, p = self._fs(f"{self.root}/{table}/_versions")
-        number = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 1
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{self.root}/{table}/_versions/{number:012d}")
+        self._point(table, name, after + 1)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete all but the last versions of each table."""
+        for table in TABLES:
+            self._writable(table)
+            for version in self.versions(table)[:-keep]:
+                for path in (self._folder(table, version), f"{self.root}/{table}/_versions/{version:012d}"):
+                    system, place = file_system(self.spark, path)
+                    system.delete(place, True)
 
     def insert(self, table: str, rows: DataFrame) -> None:
         """Add rows; a key that exists already is an error."""
@@ -74,33 +102,81 @@ class Store:
             self.replace(table, self.spark.createDataFrame([], schema))
 
     def index(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Chunks with their vectors, which must have one length."""
+        """Chunks with their vectors, which must have one length. What the paths of these chunks had before goes, with its vectors."""
         sizes = vectors.select(F.size("embedding").alias("d")).union(self.read("vectors").select(F.size("embedding"))).distinct().limit(2).collect()
         if len(sizes) > 1:
             raise ValueError("vectors of different lengths")
-        self.upsert("chunks", chunks)
-        self.upsert("vectors", vectors)
+        old = self.read("chunks")
+        gone = old.join(chunks.select("path").distinct(), "path", "left_semi").select("id")
+        self.replace("vectors", indexing.upsert(indexing.delete(self.read("vectors"), gone, "id"), vectors, "id"))
+        self.replace("chunks", indexing.upsert(indexing.delete(old, chunks.select("path")), chunks.select(*old.columns), "id"))
+
+    def index_files(self, files: DataFrame, encode: Callable[[list[str]], list] | None = None, dimension: int = 384) -> DataFrame:
+        """Bring the index to the state of files (path, content, hash), the whole of what there is, in one operation.
+
+        Files whose hash is stored are left alone; others are parsed, their chunks with the same path and content as before keep their vectors, the rest are embedded, and all that the path
+        had is replaced: chunks, vectors, snippets and hash. What files no longer has goes. Returns one row: files (parsed), removed (paths), chunks, reused, embedded, errors."""
+        self._writable("chunks")
+        hashes, old = self.read("file_hashes"), self.read("chunks")
+        changed = stored(indexing.changed_files(files.select("path", "content", "hash"), hashes), "changed-files")
+        removed = stored(hashes.select("path").join(files.select("path"), "path", "left_anti"), "removed-files")
+        parsed, snippets = chunkers.parse_all(changed)
+        parsed = stored(parsed, "parsed-chunks")
+        good = parsed.filter("error is null").join(changed.select("path", F.col("hash").alias("file_hash")), "path").withColumns({"content_hash": F.sha2("content", 256), "language": language(F.col("path")), "token_count": token_estimate(F.col("content")), "created_at": F.current_timestamp(), "generated_description": F.lit(None).cast("string")})
+        good = good.select(*old.columns)
+        reused = indexing.reuse_vectors(good, old, self.read("vectors"))
+        told = stored(reused.filter("embedding is null").select("id", "content"), "new-chunks")
+        vectors_ = stored(reused.filter("embedding is not null").select("id", "embedding").unionByName(embed(told.filter("content <> ''"), encode, dimension).select("id", "embedding")), "chunk-vectors")
+        touched = changed.select("path").unionByName(removed)
+        gone = old.join(touched, "path", "left_semi").select("id")
+        counts = [changed.count(), removed.count(), good.count(), told.count(), parsed.filter("error is not null").count()]
+        self.replace("vectors", indexing.upsert(indexing.delete(self.read("vectors"), gone, "id"), vectors_, "id"))
+        self.replace("chunks", indexing.delete(old, touched).unionByName(good))
+        fresh = snippets.withColumns({"created_at": F.current_timestamp(), "file_hash": F.lit(None).cast("string"), "language": language(F.col("path"), SNIPPET_LANGUAGES), "token_count": token_estimate(F.col("content"))})
+        have = self.read("info_snippets")
+        self.replace("info_snippets", indexing.delete(have, touched).unionByName(fresh.select(*have.columns)))
+        self.replace("file_hashes", indexing.delete(hashes, touched).unionByName(changed.select("path", "hash", F.current_timestamp().alias("indexed_at"))))
+        n, gone_files, chunks, embedded, errors = counts
+        return self.spark.createDataFrame([(n, gone_files, chunks, chunks - embedded, embedded, errors)], "files long, removed long, chunks long, reused long, embedded long, errors long")
 
     def manifest(self) -> DataFrame:
-        """(name, size, compressed_size, checksum) of the tables: checksums over rows, whatever the order of files."""
+        """(name, version, size, compressed_size, checksum) of the tables that have a version: the bytes of the files (zstd, so both sizes are these), and SHA-256 over the sorted SHA-256 of the files."""
         out = None
         for table in TABLES:
-            row = self.read(table).agg(F.count("*").alias("size"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{f.name}`") for f in TABLES[table]])), F.lit(0)).alias("x"))
-            row = row.select(F.lit(table).alias("name"), "size", F.col("size").alias("compressed_size"), F.hex("x").alias("checksum"))
+            have = self.versions(table)
+            if not have:
+                continue
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._folder(table, have[-1]))
+            row = files.select("length", F.sha2("content", 256).alias("sha")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("compressed_size"), F.sha2(F.concat_ws("", F.sort_array(F.collect_list("sha"))), 256).alias("checksum"))
+            row = row.select(F.lit(table).alias("name"), F.lit(have[-1]).cast("long").alias("version"), F.col("compressed_size").alias("size"), "compressed_size", "checksum")
             out = row if out is None else out.unionByName(row)
-        return out
+        return out if out is not None else self.spark.createDataFrame([], "name string, version long, size long, compressed_size long, checksum string")
+
+    def take(self, table: str, source: Store) -> None:
+        """Copy the current files of another store's table byte for byte, and make them the current version."""
+        self._writable(table)
+        after, name = max(self.versions(table), default=0), f"data-{uuid.uuid4().hex}"
+        (from_system, start), (to_system, end) = file_system(self.spark, source._current(table)), file_system(self.spark, f"{self.root}/{table}/{name}")
+        to_system.mkdirs(end)
+        names = [s.getPath().getName() for s in from_system.listStatus(start) if s.getPath().getName().endswith(".parquet")]
+        util, path, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path, self.spark.sparkContext._jsc.hadoopConfiguration()
+        with ThreadPoolExecutor(16) as pool:  # files move between stores, not through Spark's rows
+            list(pool.map(lambda n: util.copy(from_system, path(start, n), to_system, path(end, n), False, True, conf), names))
+        self._point(table, name, after + 1)
 
 
-def push(store: Store, target: Store) -> None:
-    """Copy the tables that differ (zstd Parquet)."""
-    for row in indexing.delta(target.manifest(), store.manifest()).collect():  # a row for each table
-        target.replace(row["name"], store.read(row["name"]))
+def push(store: Store, target: Store) -> list[str]:
+    """Copy the tables that differ, and check what has come. Gives their names."""
+    names = [row["name"] for row in indexing.delta(target.manifest(), store.manifest()).collect()]  # a row for each table
+    for name in names:
+        target.take(name, store)
+    if indexing.delta(target.manifest(), store.manifest()).head():
+        raise ValueError("a table's checksum differs after the copy")
+    return names
 
 
-def pull(store: Store, source: Store) -> None:
-    push(source, store)
-    if indexing.delta(store.manifest(), source.manifest()).head():
-        raise ValueError("a table's checksum differs after the pull")
+def pull(store: Store, source: Store) -> list[str]:
+    return push(source, store)
 
 
 def open_remote(spark: SparkSession, root: str) -> Store | None:
@@ -114,7 +190,10 @@ def scan_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), ex
     from quarrylight.functions.columns import has_extension
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    kept = (F.col("length") <= most_bytes) & ~F.col("path").rlike(r"/\.[^/]") & has_extension(F.col("path"), extensions)
+    system, place = file_system(spark, root)
+    top = system.makeQualified(place).toUri().getPath().rstrip("/")
+    below = F.expr("substring(path, instr(path, '" + top.replace("'", "\\'") + "/') + " + str(len(top)) + ")")  # a hidden folder above root hides nothing
+    kept = (F.col("length") <= most_bytes) & ~below.rlike(r"/\.[^/]") & has_extension(F.col("path"), extensions)
     for part in exclude:
         kept = kept & ~F.col("path").contains(part)
     return rows.filter(kept).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))

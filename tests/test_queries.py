@@ -84,3 +84,24 @@ def test_synthesis():
 def test_render():
     rows = [{"path": "a", "start_line": 1, "kind": "class", "relevance_percent": 9, "content": "x\ny"}]
     assert answers.render(rows, "json").startswith("[") and answers.render(rows).startswith("1. a:1 [class] 9%") and answers.render(rows, "toon").startswith("results[1]{")
+
+
+def test_sections_of_a_synthesis_in_any_order():
+    s = answers.parse_synthesis("First line.\nSecond.\nCONFIDENCE: 80\nREFERENCES:\n- a.swift\n- b.swift:x\n- :3\ninsights:\nno bullet\n- \n- yes")
+    assert (s.summary, s.insights, s.references, s.confidence) == ("First line.", ["yes"], [("a.swift", None, None), ("b.swift", None, None)], 0.8)
+    assert answers.parse_synthesis("SUMMARY: a\nCONFIDENCE: 50%\nb").summary == "a b" and answers.parse_synthesis("CONFIDENCE: high").confidence == 0.7
+    assert answers.parse_reference("• x/y.swift:12:3 - why - not") == ("x/y.swift", 12, "why") and answers.parse_synthesis("  ").summary == ""
+
+
+def test_operators_that_ask_a_model(spark):
+    def broken(*_):
+        raise OSError("down")
+
+    rows = [{"path": "a.swift", "start_line": 3, "content": "x"}]
+    assert answers.synthesize("q", rows, lambda t: "SUMMARY: all of it" if "a.swift:3" in t else "").summary == "all of it"
+    assert answers.synthesize("q", rows, broken).references == [("a.swift", 3, None)]
+    assert answers.follow_ups("q", "s", lambda _: '1. How is it tested?\n- "where used"\nx\n2) How is it tested?\n\nq') == ["How is it tested?", "where used"] and answers.follow_ups("q", "s", broken) == []
+    chunks = spark.createDataFrame([("1", "func a()"), ("2", None), ("3", "")], "id string, content string")
+    said = answers.describe(chunks, lambda texts: ["This function does " + t if t else None for t in texts]).collect()
+    assert {r["id"]: r["generated_description"] for r in said} == {"1": "Does func a().", "2": None, "3": None}
+    assert {r["generated_description"] for r in answers.describe(chunks, broken).collect()} == {None}

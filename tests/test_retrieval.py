@@ -291,6 +291,132 @@ def test_debounce(spark):
     assert got == {(0, "a"): "deleted", (0, "b"): "modified", (1, "a"): "created"}
 
 
+def test_sessions_across_ranges_of_time(spark):
+    import random
+
+    r = random.Random(4)
+    at, rows = 0, []
+    for i in range(300):
+        at += r.choice([1, 100, 499, 500, 501, 7000, 40_000])
+        rows.append((r.choice("abc"), f"e{i}", at))
+    number, last, want = 0, None, {}
+    for path, event, ms in rows:
+        number += last is not None and ms - last >= 500
+        last = ms
+        want[number, path] = event
+    df = spark.createDataFrame(rows, "path string, event string, ms long").select("path", "event", F.timestamp_millis("ms").alias("ts"))
+    for range_ms in (1000, 20_000, 3_600_000):
+        assert {(x["session"], x["path"]): x["event"] for x in watch.debounce_batch(df, range_ms=range_ms).collect()} == want
+    assert watch.debounce_batch(df.limit(0)).collect() == []
+
+
+def test_debounced_stream(spark, tmp_path):
+    """Batches as files, one at a time: bursts give one event each, once the watermark has passed their quiet time."""
+    batches = [
+        [("a", "created", 0), ("a", "modified", 200), ("b", "created", 100)],
+        [("a", "modified", 450), ("b", "modified", 3000), ("c", "created", 3000), ("c", "deleted", 3100)],
+        [("d", "created", 60_000)],
+        [("d", "modified", 200_000)],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "path string, event string, ms long").select("path", "event", F.timestamp_millis("ms").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for f in (tmp_path / "in").glob("part-*"):
+            if not f.name.startswith("part-seen"):
+                os.utime(f, (1_000_000 + i, 1_000_000 + i))
+                f.rename(f.with_name(f"part-seen-{i}.parquet"))
+    events = spark.readStream.schema("path string, event string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = watch.debounce_stream(events, 500, "1 second").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    stream.awaitTermination(180)
+    got = [(r["path"], r["event"], r["ms"]) for r in spark.read.parquet(f"{tmp_path}/out").select("path", "event", F.unix_millis("ts").alias("ms")).collect()]
+    assert sorted(got) == [("a", "modified", 450), ("b", "created", 100), ("b", "modified", 3000), ("c", "deleted", 3100), ("d", "created", 60_000)]
+
+
+def plain_packing(content, most):
+    """Line by line, as the format is defined."""
+    if not content.strip():
+        return []
+    if len(content) <= most:
+        return [(content, 1, content.count("\n") + 1)]
+    out, body, first = [], "", 1
+    lines = content.split("\n")
+    for number, line in enumerate(lines, 1):
+        line += "\n" * (number < len(lines))
+        if number > first and len(body) + len(line) > most:
+            out.append((body, first, number - 1))
+            body, first = "", number
+        body += line
+    return out + ([(body, first, len(lines))] if body.strip() else [])
+
+
+def test_plain_text_packing():
+    import random
+
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice(["\n", "ab", "c" * r.randint(0, 25), " \n", "\n\n"]) for _ in range(r.randint(0, 30)))
+        for most in (5, 12, 40):
+            assert [(c["content"], c["start_line"], c["end_line"]) for c in chunkers.plain_text("f.txt", text, most)] == plain_packing(text, most), text
+    assert [c["start_line"] for c in chunkers.plain_text("f.txt", "aaaa\nbbbb\ncccc", 5, strict_reference=True)] == [1, 1, 2]
+
+
+def test_index_life_cycle(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/index")
+    table = lambda rows: spark.createDataFrame(rows, "path string, content string").withColumn("hash", F.sha2("content", 256))
+    first = [("/p/a.swift", "func one() { }\nfunc two() { }"), ("/p/b.md", "# Top\ntext\n## Sub\nmore"), ("/p/c.md", "no heading"), ("/p/d.json", '{\n "key": 1\n}'), ("/p/e.txt", "")]
+    one = s.index_files(table(first), dimension=8).first()
+    assert (one["files"], one["removed"], one["reused"], one["errors"]) == (5, 0, 0, 1) and one["chunks"] == one["embedded"] == 6
+    chunks = {r["id"]: r for r in s.read("chunks").collect()}
+    snippets = s.read("info_snippets").collect()
+    assert {(r["kind"], r["breadcrumb"]) for r in snippets} == {("markdownSection", "Top"), ("markdownSection", "Top > Sub"), ("documentation", None)}
+    assert all(chunks[r["chunk_id"]]["content"] == r["content"] for r in snippets) and chunks[[r["chunk_id"] for r in snippets if r["breadcrumb"] is None][0]]["kind"] == "document"
+    again = s.index_files(table(first), dimension=8).first()
+    assert (again["files"], again["removed"], again["chunks"]) == (0, 0, 0)
+    second = [("/p/a.swift", "func one() { }\nfunc three() { }"), first[1], first[3]]
+    two = s.index_files(table(second), dimension=8).first()
+    assert (two["files"], two["removed"], two["chunks"], two["reused"], two["embedded"]) == (1, 2, 2, 1, 1)
+    assert {r["path"] for r in s.read("chunks").collect()} == {"/p/a.swift", "/p/b.md", "/p/d.json"} and "two" not in str(s.read("chunks").collect())
+    assert indexing.consistency(s.read("chunks"), s.read("vectors")).count() == 0 and {r["path"] for r in s.read("file_hashes").collect()} == {"/p/a.swift", "/p/b.md", "/p/d.json"}
+
+
+def test_manifest_is_of_bytes_and_copies_are_checked(spark, mini, tmp_path):
+    s, other = (store.Store(spark, f"file://{tmp_path}/{n}") for n in ("one", "two"))
+    s.index(mini, spark.createDataFrame([("chunk1", [1.0])], schemas.VECTORS))
+    first = {r["name"]: r for r in s.manifest().collect()}
+    size = sum(f.stat().st_size for f in (tmp_path / "one" / "chunks").glob("data-*/*.parquet"))
+    assert first["chunks"]["size"] == size and first["chunks"]["version"] == 1 and len(first["chunks"]["checksum"]) == 64
+    assert sorted(store.pull(other, s)) == ["chunks", "vectors"] and store.push(s, other) == [] and other.read("chunks").count() == 3
+    s.replace("chunks", s.read("chunks").unionByName(s.read("chunks").limit(1)))  # a row added twice shows
+    assert store.push(s, other) == ["chunks"] and other.read("chunks").count() == 4
+    s.replace("chunks", mini, after=2)
+    with pytest.raises(store.ConflictError):
+        s.replace("chunks", mini.limit(0), after=2)
+    assert s.read("chunks").count() == 3 and len(s.versions("chunks")) == 3
+    s.vacuum(1)
+    assert s.versions("chunks") == [3] and s.read("chunks").count() == 3
+    edited = mini.filter("id = 'chunk1'").withColumn("id", F.lit("chunk1b"))
+    s.index(edited, spark.createDataFrame([("chunk1b", [2.0])], schemas.VECTORS))
+    assert {r["id"] for r in s.read("chunks").collect()} == {"chunk1b", "chunk2", "chunk3"} and {r["id"] for r in s.read("vectors").collect()} == {"chunk1b"}
+
+
+def test_a_hidden_folder_above_the_root_hides_nothing(spark, tmp_path):
+    for path in (".hidden/src/a.swift", ".hidden/src/.git/b.swift", ".hidden/src/.c.swift", ".hidden/src/sub/d.swift"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    got = store.scan_files(spark, str(tmp_path / ".hidden/src")).collect()
+    assert sorted(os.path.basename(r["path"]) for r in got) == ["a.swift", "d.swift"]
+
+
+def test_federated_search(spark, mini):
+    vectors_ = spark.createDataFrame([(f"chunk{i}", [float(i), 1.0]) for i in (1, 2, 3)], schemas.VECTORS)
+    asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, vector array<float>")
+    remote = mini.withColumns({"id": F.concat(F.lit("r"), "id"), "path": F.regexp_replace("path", "login", "other")})
+    rv = vectors_.withColumn("id", F.concat(F.lit("r"), "id"))
+    got = {r["id"]: r["origin"] for r in search.federated_search((mini, vectors_), (remote, rv), {"q": "user"}, asked).collect()}
+    assert got == {"chunk1": 0, "chunk2": 0, "chunk3": 0, "rchunk1": 1}
+    assert {r["id"] for r in search.federated_search((mini, vectors_), None, {"q": "user"}, asked).collect()} == {"chunk1", "chunk2", "chunk3"}
+
+
 SWIFT = """import Foundation
 
 /// A store.
