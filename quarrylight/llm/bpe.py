@@ -136,7 +136,9 @@ _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text. No rows are moved; a null text is empty (no ids, empty decoded text)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text. No rows are moved; a null text is empty (no ids, empty decoded text).
+
+    Each row has its result, also one that repeats or has no doc_id. An empty table gives no rows. Columns other than doc_id and text are not read."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

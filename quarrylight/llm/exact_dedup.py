@@ -4,8 +4,9 @@
    the rows that have it, and a key of the leading bits of the text's SHA-256. Entries are
    written to the shared folder.
 2. The directory starts at depth 0 and doubles until no bucket holds more than
-   `bucket_bytes`, or `max_depth` is reached. It's made from counts of key prefixes, at most
-   2**max_depth of them whatever the input.
+   `bucket_bytes`. It's made from sums by key prefix, some sixteen times as many as there are full
+   buckets in the input, and at most 2**max_depth of them; beyond that buckets grow, which an
+   owner, who streams them, can bear.
 3. Buckets go to owner tasks in key order. An owner reads its bucket sorted by key, chains
    the texts that share a key and compares them byte by byte, so that a collision never joins
    two texts. A text that a third of all rows hold arrives once from each scan task, not once
@@ -20,6 +21,7 @@ kept. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,17 +133,18 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def exact_dedup(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = 4 << 20, max_depth: int = 16, flush_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = 4 << 20, max_depth: int = 20, flush_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, keep_id (largest doc_id among equal texts), group_size, kept, text_sha256; a row for each row of docs.
 
     key_bits: fewer make keys collide (for tests). max_depth bounds what comes to the driver: 2**max_depth sums."""
     spark = docs.sparkSession
     prepare(spark)
-    max_depth = min(max_depth, key_bits)
     entries = materialise(texts_only(docs).mapInArrow(_fold(key_bits, flush_bytes), _ENTRY_SQL), "dedup-entries")
+    size = F.sum(F.col("n_bytes") + 64)
+    max_depth = min(max_depth, key_bits, 4 + math.ceil(math.log2(max(1, (entries.agg(size).first()[0] or 0) / bucket_bytes))))
     weights = np.zeros(1 << max_depth)
-    for slot, w in entries.groupBy(F.shiftright("key", key_bits - max_depth).alias("slot")).agg(F.sum(F.col("n_bytes") + 64).alias("w")).collect():
-        weights[slot] = w
+    found = entries.groupBy(F.shiftright("key", key_bits - max_depth).alias("slot")).agg(size.alias("w")).toArrow()
+    weights[found.column("slot").to_numpy()] = found.column("w").to_numpy()
     depth, slots, sizes = directory(weights, max_depth, bucket_bytes)
     owners = max(1, partitions(spark), int(sizes.sum() // (128 << 20)))
     owner_of = np.minimum((np.cumsum(sizes) - sizes / 2) / max(sizes.sum(), 1) * owners, owners - 1).astype(int)

@@ -235,13 +235,20 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(read, _ROWS)
 
 
+#: Shards whose sums are broadcast; those of more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
 def token_table(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int, vocabulary: int, shards: int | None = None) -> DataFrame:
     """Write all documents to shards and read them back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Null texts are empty, and a document has its end id at least. Rows with a null doc_id come first."""
+    Null texts are empty, and a document has its end id at least. Rows with a null doc_id come first; rows that repeat, or share a doc_id, are documents of their own, one after
+    the other in any order. An empty table gives no rows. Columns other than doc_id and text are not read. The sums before a shard come from one row a shard."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = materialise(read_shards(spark, write_shards(docs, encoder, end_id, vocabulary, shards or spread(docs))), "sstable-rows")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    shards = shards or spread(docs)
+    rows = materialise(read_shards(spark, write_shards(docs, encoder, end_id, vocabulary, shards)), "sstable-rows")
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    small = F.broadcast(base) if shards <= MOST_BROADCAST else base
+    return rows.join(small, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -45,7 +45,9 @@ def stored_counts(spark: SparkSession, cache: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row; null text is empty and has no token. New counts are appended to the cache."""
+    """doc_id, n_bytes, n_tokens, over_limit of each row; null text is empty and has no token. New counts are appended to the cache.
+
+    Each row has its count, also one that repeats or has no doc_id; each distinct text is encoded once. An empty table gives no rows and adds nothing. Columns other than doc_id and text are not read."""
     spark = docs.sparkSession
     prepare(spark)
     version = tokenizer_version(tokenizer)
