@@ -407,6 +407,35 @@ def test_a_hidden_folder_above_the_root_hides_nothing(spark, tmp_path):
     assert sorted(os.path.basename(r["path"]) for r in got) == ["a.swift", "d.swift"]
 
 
+def test_multi_hop_is_the_plain_walk(spark):
+    import random
+
+    r = random.Random(5)
+    names = [f"Name{chr(97 + i)}" for i in range(16)]
+    rows = [{"id": f"c{i:02d}", "content": " ".join(r.choices(names, k=r.randint(2, 12))), "symbols": [], "references": r.sample(names, r.randint(0, 4))} for i in range(40)]
+    chunks = chunk_table(spark, rows)
+    refs = {x["id"]: x["references"] for x in rows}
+    best = {n: [] for n in names}
+    for x in fulltext.bm25(chunks, {n: prepared_match(n, False) for n in names}).collect():
+        best[x["query_id"]].append((x["id"], x["score"]))
+    order = lambda pairs: sorted(pairs, key=lambda p: (-round(p[1], 9), p[0]))
+    starts = {q: [(f"c{i:02d}", r.random()) for i in r.sample(range(40), 9)] for q in ("q1", "q2")}
+    want = set()
+    for q, level in starts.items():
+        for depth in (1, 2):
+            asked = {n for i, _ in order(level)[:5] for n in refs[i]}
+            seen, hit = {i for i, _ in level}, {}
+            for n in asked:
+                for i, score in order(best[n])[:3]:
+                    if i not in seen:
+                        hit[i] = max(score, hit.get(i, score))
+            level = [(i, score * 0.7**depth) for i, score in hit.items()]
+            want |= {(q, i, round(score, 9), depth) for i, score in level}
+    start = spark.createDataFrame([(q, i, x, refs[i]) for q, level in starts.items() for i, x in level], "query_id string, id string, score double, references array<string>")
+    got = search.multi_hop(chunks, start, SearchOptions(multi_hop=2)).collect()
+    assert {(x["query_id"], x["id"], round(x["score"], 9), x["hop_depth"]) for x in got} == want and len(got) == len(want) > 8
+
+
 def test_federated_search(spark, mini):
     vectors_ = spark.createDataFrame([(f"chunk{i}", [float(i), 1.0]) for i in (1, 2, 3)], schemas.VECTORS)
     asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, vector array<float>")
