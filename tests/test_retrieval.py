@@ -535,9 +535,9 @@ def test_all_queries_in_blocks_are_brute_force(spark, brute, monkeypatch, few, t
     for name, value in (("FEW_QUERIES", few), ("MOST_QUERIES", tall), ("MOST_VECTORS", wide)):
         monkeypatch.setattr(vectors, name, value)
     want = sorted((q, i, r + 1) for q, best in brute.items() for r, (_, i) in enumerate(best))
-    assert sorted((r["query_id"], r["id"], r["rank"]) for r in QUERIES["knn_cosine_all"](spark, SF).collect()) == want
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in QUERIES["knn_cosine"](spark, SF).collect()) == want
     want = sorted((q, i) for q, best in brute.items() for s, i in best if -s >= 0.5)
-    assert sorted((r["query_id"], r["id"]) for r in QUERIES["knn_threshold_all"](spark, SF).collect()) == want
+    assert sorted((r["query_id"], r["id"]) for r in QUERIES["knn_threshold"](spark, SF).collect()) == want
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
