@@ -33,9 +33,10 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of each query (query_id, vector) and each vector of its length; zero vectors have none. Exact."""
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors in one job")
-    asked = queries.select("query_id", F.col("vector").alias("q"), F.sqrt(dot("vector", "vector")).alias("qn")).filter("qn > 0")
-    given = vectors.select("id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("vn")).filter("vn > 0")
-    return given.join(F.broadcast(asked), F.size("embedding") == F.size("q")).select("query_id", "id", (dot("embedding", "q") / (F.col("vn") * F.col("qn"))).alias("score"))
+    asked = queries.select("query_id", F.col("vector").alias("q"), dot("vector", "vector").alias("qq")).filter("qq > 0")
+    given = vectors.select("id", "embedding", dot("embedding", "embedding").alias("vv")).filter("vv > 0")
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("embedding", "q") / F.sqrt(F.col("vv") * F.col("qq"))))  # one root, so that a vector is at exactly 1 from itself
+    return given.join(F.broadcast(asked), F.size("embedding") == F.size("q")).select("query_id", "id", score.alias("score"))
 
 
 def _matrix(rows: pa.Table, name: str) -> np.ndarray:

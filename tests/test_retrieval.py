@@ -128,6 +128,16 @@ def test_nearest(spark):
         vectors.check_dimension(v, 2)
 
 
+def test_a_vector_is_at_exactly_1_from_itself(spark):
+    """A percentage is the floor of a hundred times the score, so that the last bit of a double counts."""
+    rng = np.random.default_rng(5)
+    given = [(str(i), [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(80)]
+    v = spark.createDataFrame(given, "id string, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = vectors.cosine_scores(v, q).filter("id = query_id").select("score", C.search_percent(F.lit(0.0), F.col("score")).alias("percent")).collect()
+    assert len(got) == 80 and {(r["score"], r["percent"]) for r in got} == {(1.0, 100)}
+
+
 def test_embedding_is_a_function_of_the_text(spark):
     a, b = vectors.hash_embedding("x", 8), vectors.hash_embedding("x", 8)
     assert (a == b).all() and math.isclose((a * a).sum(), 1) and (a != vectors.hash_embedding("y", 8)).any()
