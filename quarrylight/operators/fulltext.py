@@ -1,22 +1,24 @@
 """BM25 over several text fields, for many queries in one job.
 
-Query phrases are a small table that is broadcast; documents are scanned once, and only tokens
-that lie in the queries' ranges leave the scan. So there is no shuffle of the corpus's tokens: what is
-shuffled are matches, by query and document. An index keeps the documents, their postings (term, id,
-field, pos) sorted by term, and the corpus's statistics, so that a search reads the few row groups
-that hold its terms and no text.
+Documents are scanned once, a block at a time, and only the counts of the queries' phrases leave the
+scan. There is no shuffle of the corpus's tokens: what is shuffled are matches, by query and document.
+An index keeps the documents, their postings (a row for each term of each block, by term), and the
+corpus's statistics, so that a search reads the pages that hold its terms and no text; there, query
+phrases are a small table that is broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions import segments
 from quarrylight.functions.columns import tokens
 from quarrylight.plans.query import Match
+from quarrylight.session import small_batches, stored
 
 K1, B = 1.2, 0.75
 CHUNK_FIELDS = ("content", "symbols", "doc_comment", "generated_description", "conformances")
@@ -55,28 +57,55 @@ def corpus_stats(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return fielded(docs, fields).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _texts(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """id and a column of text for each field. Arrays of strings are taken as text."""
+    kinds = dict(docs.dtypes)
+    return docs.select("id", *((F.concat_ws(" ", F.col(f"`{f}`")) if kinds[f].startswith("array") else F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(fields)))
+
+
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
+
+
 def postings(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(term, id, field, pos, dl), for write_postings and repeated searches."""
-    each = fielded(docs, fields).select("id", "dl", F.posexplode("f").alias("field", "terms"))
-    return each.select("id", "dl", "field", F.posexplode("terms").alias("pos", "term"))
+    """segments.POSTINGS: a row for each term of each block of documents. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    return _texts(docs, fields).mapInArrow(segments.postings_of, segments.POSTINGS.format(id=_id_type(docs)))
+
+
+def frequencies(docs: DataFrame, queries: dict[str, Match], fields: tuple[str, ...]) -> DataFrame:
+    """segments.FREQUENCIES of the queries' phrases from one scan of the texts."""
+    small_batches(docs.sparkSession)
+    asked = [(name, i, p.tokens, p.prefix, len(m.phrases), m.every) for name, m in queries.items() for i, p in enumerate(m.phrases)]
+    return _texts(docs, fields).mapInArrow(partial(segments.frequencies_of, asked), segments.FREQUENCIES.format(id=_id_type(docs)))
 
 
 @dataclass
 class TextIndex:
-    """Documents as stored, postings sorted by term, and corpus_stats()."""
+    """Documents as stored, segments.POSTINGS (each block's sorted by term, one after the other) and corpus_stats()."""
 
     docs: DataFrame
-    postings: DataFrame
+    segments: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, field, pos, dl) of each token."""
+        each = self.segments.select("term", F.explode(F.arrays_zip("ids", "fields", "places", "sizes")).alias("t"))
+        return each.select("term", F.col("t.ids").alias("id"), F.col("t.fields").cast("int").alias("field"), F.col("t.places").alias("pos"), F.col("t.sizes").alias("dl"))
+
 
 def write_index(docs: DataFrame, fields: tuple[str, ...], path: str, files: int) -> TextIndex:
-    """Write the three tables below path. Postings are sorted by term, so that minima and maxima of row groups prune exact and prefix lookups."""
+    """Write the three tables below path. Postings are sorted by term within a block, so that minima and maxima of pages prune exact and prefix lookups.
+
+    Documents stay where they are read; only if that gives fewer tasks than there are cores (and files), they are dealt anew."""
     spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    wanted = min(files, spark.sparkContext.defaultParallelism)
+    dealt = docs.repartition(wanted) if docs.rdd.getNumPartitions() < wanted else docs
+    dealt.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
     kept = spark.read.schema(docs.schema).parquet(f"{path}/docs")
-    postings(kept, fields).repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
-    sizes = fielded(kept, fields).select("dl")
+    postings(kept, fields).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.page.row.count.limit", 2000).parquet(f"{path}/postings")
+    sizes = spark.read.parquet(f"{path}/postings").filter("term is null").select(F.explode("lengths").alias("dl"))
     sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(spark, path)
 
@@ -85,6 +114,15 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "stats")))
 
 
+def term_summary(index: TextIndex) -> DataFrame:
+    """(term, chunks, places, spread, longest): documents and tokens of each term, the sum of position times field + 1, tokens of the longest document."""
+    if index.docs.groupBy("id").count().filter("count > 1").head():  # then a document may lie in two blocks
+        return index.postings.groupBy("term").agg(F.countDistinct("id").alias("chunks"), F.count("*").alias("places"), F.sum(F.col("pos") * (F.col("field") + 1)).alias("spread"), F.max("dl").cast("long").alias("longest"))
+    small_batches(index.docs.sparkSession)
+    parts = index.segments.filter("term is not null").mapInArrow(segments.summary_of, segments.SUMMARY)
+    return parts.groupBy("term").agg(F.sum("chunks").alias("chunks"), F.sum("places").alias("places"), F.sum("spread").alias("spread"), F.max("longest").alias("longest"))
+
+
 def term_ranges(queries: dict[str, Match], most: int = MOST_RANGES) -> list[tuple[str, str]]:
     """Disjoint ascending ranges of terms, `most` at most, that hold all terms the queries can match."""
     asked = {(t, t + "\U0010ffff" if p.prefix and i == len(p.tokens) - 1 else t) for m in queries.values() for p in m.phrases for i, t in enumerate(p.tokens)}
@@ -106,8 +144,9 @@ def bm25(docs: DataFrame | TextIndex, queries: dict[str, Match], fields: tuple[s
     """(query_id, id, score) of all matches; higher is better. From an index no text is read.
 
     A phrase's idf is ln((n - d + 0.5) / (d + 0.5)), 1e-6 where that isn't positive, over all rows of docs; its frequency is summed over fields."""
-    indexed = isinstance(docs, TextIndex)
-    source = docs.postings if indexed else postings(docs, fields)
+    if not isinstance(docs, TextIndex):
+        return _bm25_of_texts(docs, queries, fields)
+    source = docs.postings
     terms = match_table(source.sparkSession, queries)
     widths = sorted({len(p.tokens[-1]) for m in queries.values() for p in m.phrases if p.prefix})
     keys = F.array(F.struct(F.lit(0).alias("width"), F.col("term").alias("key")), *(F.struct(F.lit(w).alias("width"), F.left("term", F.lit(w)).alias("key")) for w in widths))
@@ -119,11 +158,24 @@ def bm25(docs: DataFrame | TextIndex, queries: dict[str, Match], fields: tuple[s
     if any(len(p.tokens) > 1 for m in queries.values() for p in m.phrases):
         starts = hits.filter("tokens > 1").groupBy(*same, "field", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("found"), F.first("tokens").alias("tokens"), *kept)
         frequency = frequency.unionByName(starts.filter("found = tokens").groupBy(*same).agg(F.count("*").alias("f"), *kept))
+    return _scores(frequency, docs.stats)
+
+
+def _bm25_of_texts(docs: DataFrame, queries: dict[str, Match], fields: tuple[str, ...]) -> DataFrame:
+    """bm25() without an index. What one scan finds is stored, since the weights of the phrases need all of it: a row for each document and phrase that it has."""
+    match_table(docs.sparkSession, queries)  # refuses too many tokens
+    found = stored(frequencies(docs, queries, fields), "frequencies")
+    stats = found.filter("query_id is null").agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("f")).alias("avgdl"))
+    frequency = found.filter("query_id is not null").groupBy("query_id", "phrase", "id").agg(F.sum("f").alias("f"), *(F.first(c).alias(c) for c in ("dl", "phrases", "every")))
+    return _scores(frequency, stats)
+
+
+def _scores(frequency: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, id, score) from (query_id, phrase, id, f, dl, phrases, every) and one row (n, avgdl)."""
     spread = frequency.groupBy("query_id", "phrase").agg(F.count("*").alias("d"))
-    stats = F.broadcast(docs.stats if indexed else corpus_stats(docs, fields))  # one row
     idf = F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = frequency.join(F.broadcast(spread), ["query_id", "phrase"]).crossJoin(stats).withColumn("weight", weight)
+    scored = frequency.join(F.broadcast(spread), ["query_id", "phrase"]).crossJoin(F.broadcast(stats)).withColumn("weight", weight)  # one row of statistics
     out = scored.groupBy("query_id", "id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"), F.first("phrases").alias("phrases"), F.first("every").alias("every"))
     return out.filter(~F.col("every") | (F.col("matched") == F.col("phrases"))).select("query_id", "id", "score")
 

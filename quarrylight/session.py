@@ -29,6 +29,13 @@ def ship(spark: SparkSession) -> None:
     context._quarrylight_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """What operators in Python workers need: the package on all workers and Arrow batches of 32 MB at most. The settings stay, since plans are run later."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
