@@ -19,6 +19,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))
 
 
+def first_tokens(text: Column, n: int) -> Column:
+    """tokens(), but only the first n are sure to be there: one token more is cut off before the text is put in lower case, since a letter's lower case may depend on the next word."""
+    return tokens(F.regexp_extract(text, r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}" % (n + 1), 0))
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension without the dot, '' if there is none."""
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

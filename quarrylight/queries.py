@@ -161,8 +161,7 @@ def corpus_stats(spark, sf_dir):
 @query(rf"WITH {CHUNKS_SQL}, {bm25_sql(_ASKED)} SELECT term, count(DISTINCT id) AS chunks, count(*) AS places, sum(pos * (field + 1))::BIGINT AS spread, max(dl)::BIGINT AS longest FROM tokens_ GROUP BY term")
 def index_postings(spark, sf_dir):
     """What the index that the searches read holds of each term."""
-    rows = corpus.index(spark, sf_dir).postings
-    return rows.groupBy("term").agg(F.countDistinct("id").alias("chunks"), F.count("*").alias("places"), F.sum(F.col("pos") * (F.col("field") + 1)).alias("spread"), F.max("dl").cast("long").alias("longest"))
+    return fulltext.term_summary(corpus.index(spark, sf_dir))
 
 
 # --- vectors -----------------------------------------------------------------------------------
@@ -287,7 +286,7 @@ _BOOST_CASES = " ".join(f"WHEN query_id = '{q}' THEN {boost_sql(*spec)}" for q,
 
 @query(f"WITH {CHUNKS_SQL}, {_counts_sql()}, q(query_id) AS (VALUES {', '.join(f'({q!r})' for q in TEXTS)}) SELECT query_id, id, round(CASE {_BOOST_CASES} END, 6) AS boost FROM q, chunks")
 def rank_boosts(spark, sf_dir):
-    rows = corpus.index(spark, sf_dir).docs
+    rows = corpus.chunks(spark, sf_dir)
     asked = ranking.query_table(rows, TEXTS)
     return rows.crossJoin(F.broadcast(asked)).select("query_id", "id", F.round(ranking.rank_boost(), 6).alias("boost"))  # each chunk for each of the five queries, which are what the report is of
 

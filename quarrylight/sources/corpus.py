@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.columns import tokens
+from quarrylight.functions.columns import first_tokens
 from quarrylight.operators import fulltext
 from quarrylight.session import shared_dir, until_exit
 
@@ -27,7 +27,7 @@ def _pick(values: tuple[str, ...], number) -> F.Column:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as code chunks."""
     n, t = F.col("doc_id"), F.col("tokens")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("content")).withColumn("tokens", tokens(F.col("content")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("content")).withColumn("tokens", first_tokens(F.col("content"), 4))
     word = lambda i: F.coalesce(F.get(t, F.lit(i)), F.lit(""))
     conforms = F.when(n % 6 == 0, F.array(F.lit("Codable"), F.lit("ChunkStore"))).when(n % 6 == 3, F.array(F.concat(F.lit("Store"), (n % 7).cast("string")))).otherwise(F.array().cast("array<string>"))
     return rows.select(
