@@ -18,6 +18,9 @@ from quarrylight.operators.fulltext import TextIndex
 from quarrylight.plans.query import SearchOptions, conformance_target, intent, prepared_match
 from quarrylight.session import stored
 
+#: Rows of search results up to which they are broadcast to the chunks.
+MOST_BROADCAST = 200_000
+
 RESULT = ["query_id", "chunk_id", "path", "kind", "start_line", "end_line", "score", "bm25_score", "semantic_score", "bm25_rank", "semantic_rank", "is_multi_hop", "hop_depth", "exact_symbol_match"]
 
 
@@ -25,10 +28,15 @@ def _table(chunks: DataFrame | TextIndex) -> DataFrame:
     return chunks.docs if isinstance(chunks, TextIndex) else chunks
 
 
+def _looked_up(best: DataFrame, chunks: DataFrame, most: int, *columns: str) -> DataFrame:
+    """best with columns of its chunks. At most `most` rows; unless these are too many they are broadcast, so that the chunks are not shuffled."""
+    return chunks.select("id", *columns).join(F.broadcast(best) if most <= MOST_BROADCAST else best, "id")
+
+
 def bm25_search(chunks: DataFrame | TextIndex, queries: dict[str, str], options: SearchOptions = SearchOptions()) -> DataFrame:
     """(query_id, id, score, rank): over-fetches twice the limit, then filters; rank is the place before the filters."""
     best = fulltext.top_k(fulltext.bm25(chunks, {q: prepared_match(t, options.strict_reference) for q, t in queries.items()}), 2 * options.limit)
-    return _cut(best.join(_table(chunks).select("id", "path"), "id").filter(_filters(options)), options.limit).select("query_id", "id", "score", "rank")
+    return _cut(_looked_up(best, _table(chunks), 2 * options.limit * len(queries), "path").filter(_filters(options)), options.limit).select("query_id", "id", "score", "rank")
 
 
 def semantic_only(chunks: DataFrame, embeddings: DataFrame, query_vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -57,7 +65,7 @@ def _index(chunks: DataFrame | TextIndex, embeddings: DataFrame, queries: dict[s
     weights = [1 - options.semantic_weight, options.semantic_weight, options.conformance_weight]
     rows = fusion.weighted(lists, weights, options.rrf_k, options.alpha, {0: "bm25", 1: "semantic", 2: "conforms"}).withColumnRenamed("score", "fused")
     rows = rows.withColumn("conforms", F.col("conforms_rank").isNotNull())
-    rows = rows.join(chunks.select("id", "path", "kind", "start_line", "end_line", "symbols", "references", "conformances", "content", "signature"), "id").filter(_filters(options))
+    rows = _looked_up(rows, chunks, 3 * fetch * len(queries), "path", "kind", "start_line", "end_line", "symbols", "references", "conformances", "content", "signature").filter(_filters(options))
     rows = _cut(rows, options.result_factor * options.limit, "fused")
     rows = rows.join(F.broadcast(ranking.query_table(chunks, queries)), "query_id")
     exact = ranking.exact_symbol() | ranking.exact_content()

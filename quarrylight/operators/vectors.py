@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.fulltext import top_k
-from quarrylight.session import ship
+from quarrylight.session import ship, stored
 
 #: Query vectors that cosine_scores() broadcasts, and of one block; vectors of one block; queries up to which nearest() broadcasts them.
 MOST_QUERIES, MOST_VECTORS, FEW_QUERIES = 10_000, 32_768, 100
+#: Neighbours up to which semantic_search() broadcasts them to the chunks.
+MOST_BROADCAST = 200_000
 
 
 def dot(a, b):
@@ -121,8 +123,10 @@ def intent_boost() -> F.Column:
 
 def semantic_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, intents: dict, limit: int) -> DataFrame:
     """(query_id, id, score, rank): over-fetches twice the limit, boosts queries whose intent is known, sorts again and cuts."""
-    best = nearest(vectors, queries, 2 * limit).drop("rank")
-    rows = best.join(chunks.select("id", "kind", "symbols", "conformances"), "id", "left").join(F.broadcast(intent_table(chunks.sparkSession, intents)), "query_id", "left")
+    best = stored(nearest(vectors, queries, 2 * limit).drop("rank"), "nearest")  # 2 * limit rows a query
+    ids = best.select("id").distinct()
+    ids = F.broadcast(ids) if best.count() <= MOST_BROADCAST else ids
+    rows = best.join(chunks.select("id", "kind", "symbols", "conformances").join(ids, "id", "left_semi"), "id", "left").join(F.broadcast(intent_table(chunks.sparkSession, intents)), "query_id", "left")
     boost = F.when(F.col("implementation").isNotNull(), F.coalesce(intent_boost(), F.lit(1.0))).otherwise(1.0)
     return top_k(rows.select("query_id", "id", (F.col("score") * boost).alias("score")), limit)
 
